@@ -24,6 +24,8 @@ from . import common
 
 CAPACITY = 1024
 END_ID = 2
+#: So many pieces are ordered before they are placed.
+HORIZON = 1 << 16
 #: Sequence ids of a task begin at its partition times this.
 SPAN = 1 << 40
 
@@ -66,6 +68,11 @@ def pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n else []
 
 
+def order(length: int, mixed: int, capacity: int) -> tuple[int, int]:
+    """Sort key of a piece within the horizon: large pieces by falling length, then small ones in a mixed order, which the rule packs best."""
+    return (-length, mixed) if length > capacity // 3 else (0, mixed)
+
+
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -76,20 +83,24 @@ def _packed(path: str, capacity: int, end_id: int):
 
         c, end = bpe.codec(path), np.uint32(end_id).tobytes()
         packer = SumOfSquares(capacity, TaskContext.get().partitionId() * SPAN)
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+
+        def placed(todo):
+            todo.sort(key=lambda x: order(x[3], x[4], capacity))
+            rows = [(*x, *packer.place(x[3])) for x in todo]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=NAMES)
+
+        todo: list[tuple] = []
         for b in batches:
-            rows = []
-            # Longer pieces first, within a batch: gaps that are left are then filled by what is small.
-            todo = []
             for doc, text in zip(b.column(0).to_pylist(), common.as_bytes(b.column(1))):
                 ids = c.encode(text) + end
                 for k, (start, length) in enumerate(pieces(len(ids) // 4, capacity)):
-                    todo.append((length, len(todo), doc, k, start, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            todo.sort(key=lambda x: (-x[0], x[1]))
-            for length, _, doc, k, start, crc in todo:
-                rows.append((doc, k, start, length, crc, *packer.place(length)))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=NAMES)
+                    todo.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                if len(todo) >= HORIZON:
+                    yield placed(todo)
+                    todo = []
+        if todo:
+            yield placed(todo)
 
     return run
 

@@ -3,8 +3,8 @@
 A term is a lower-case run of what is neither white space nor ASCII punctuation.
 Only terms whose document frequency lies in a band count (an inverse document
 frequency between two bounds). A text's distinct terms of the band are sorted
-and hashed once for each of several randomised sub-lexicons, which keep a half,
-a quarter, ... of the lexicon; a fingerprint is the row of these hashes, and two
+and hashed once for each of several randomised sub-lexicons, which keep a quarter,
+a sixteenth, ... of the lexicon; a fingerprint is the row of these hashes, and two
 fingerprints are alike in the share of sub-lexicons (those in which either text
 has a term) where their hashes agree.
 
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LOW, HIGH = 0.001, 0.02
+LOW, HIGH = 0.004, 0.05
 #: Denominators of the sub-lexicons' shares, and how many sub-lexicons have each.
-SHARES = (2, 4, 8, 16, 32, 64)
-PER_SHARE = 4
+SHARES = (4, 16, 64, 256)
+PER_SHARE = 6
 SEGMENTS = 64
 _SPLIT = r"[\s\p{Punct}]+"
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, media, packing, quality, secrets, toxicity
+from . import bpe, fingerprints, lm, media, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_transport_streams,
+        op3_log_bilinear,
         op5_chunked_bpe,
         op6_imatch,
         op7_secret_ownership,

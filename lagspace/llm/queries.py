@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, lm, media, packing, quality, secrets, toxicity
+from . import bpe, fingerprints, jaccard, lm, media, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op4_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_transport_streams,
         op3_log_bilinear,
+        op4_count_vector_rtree,
         op5_chunked_bpe,
         op6_imatch,
         op7_secret_ownership,

@@ -349,6 +349,22 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     return rows.select("doc_id", "n_shingles", "node").join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id. Texts without shingles, and null ids, each stay.
+
+    Only ids are compared; texts are shuffled where there are more ids to drop
+    than can be broadcast, or where rows repeat.
+    """
+    found = common.cut(joined(docs, words, percent).where("doc_id IS NOT NULL"))
+    drop = found.where("doc_id != component_id").select("doc_id").distinct()
+    twice = found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(small(drop), "doc_id", "left_anti").select(docs.columns)
+    if twice.isEmpty():
+        return kept
+    again = small(common.cut(twice))
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+
+
 def _check(texts: DataFrame, rows: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
     """The candidate pairs that are links, by their whole sets. Only the texts of candidates are read again."""
     pairs = common.cut(found.where("a IS NOT NULL").select("a", "b").distinct())

@@ -1,4 +1,8 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import oracles, queries
+
+QUERIES = {name: getattr(queries, name) for name in oracles.ORACLES}
+ORACLES = oracles.ORACLES

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from ..operators import ccm
 from . import queries as q
 
-USERS = "u AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS x, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
-HOURS = "h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY b) - 1 AS t, x, count(*) OVER () AS n FROM (SELECT date_trunc('hour', ts) AS b, avg(value) AS x FROM events GROUP BY 1))"
+USERS = "u AS MATERIALIZED (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS t, value AS x, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+HOURS = "h AS MATERIALIZED (SELECT count(*) OVER (ORDER BY b ROWS UNBOUNDED PRECEDING) - 1 AS t, x, count(*) OVER () AS n FROM (SELECT date_trunc('hour', ts) AS b, avg(value) AS x FROM events GROUP BY 1))"
 DAYS = """r AS (SELECT CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice) AS x FROM lineitem GROUP BY 1),
 o AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS y FROM orders GROUP BY 1),
-s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY day) - 1 AS t, x / 1e6 AS x, y / 1e6 AS y FROM r JOIN o USING (day))"""
+s AS MATERIALIZED (SELECT count(*) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS t, x / 1e6 AS x, y / 1e6 AS y FROM r JOIN o USING (day))"""
 RHO = "CASE WHEN stddev_pop({p}) * stddev_pop({o}) > 0 THEN covar_pop({p}, {o}) / (stddev_pop({p}) * stddev_pop({o})) ELSE 0 END"
 
 

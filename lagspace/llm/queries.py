@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, jaccard, lm, media, packing, quality, secrets, toxicity
+from . import bpe, fingerprints, html, jaccard, lm, media, oracles, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -67,4 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_count_vector_rtree": oracles.JACCARD,
+    "op7_secret_ownership": oracles.SECRETS,
+}

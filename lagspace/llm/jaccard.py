@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +43,10 @@ LEAF = 16
 BROADCAST_IDS = 1_000_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[bytes, int] = {}
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _WORDS
-    if len(known) > 300_000:
-        known.clear()
-    out = list(map(known.get, words))
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                w = words[i]
-                out[i] = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return np.array(out, dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -120,7 +112,12 @@ class RTree:
 
 
 def _folded(p: np.ndarray, groups: int) -> np.ndarray:
-    return p.astype(np.int32).reshape(-1, groups).sum(0)
+    return p.astype(np.int32) if len(p) == groups else p.astype(np.int32).reshape(-1, groups).sum(0)
+
+
+@lru_cache(maxsize=4096)
+def _unpacked(point: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(point), dtype=np.uint16)
 
 
 def candidates(sizes: list[int], points: list[np.ndarray], components: list | None, nearest: int | None, percent: int = PERCENT):
@@ -138,6 +135,11 @@ def candidates(sizes: list[int], points: list[np.ndarray], components: list | No
             continue
         folded = np.stack([_folded(points[i], int(groups)) for i in here])
         n = np.array([sizes[i] for i in here])
+        if len(here) == 2:  # a single pair needs no tree
+            bound = int(np.minimum(folded[0], folded[1]).sum())
+            if (100 + percent) * bound >= percent * int(n.sum()) and (components is None or components[here[0]] != components[here[1]]):
+                out.add((int(here[0]), int(here[1])))
+            continue
         tree = RTree(folded, n)
         for a in np.flatnonzero(own):
             found, bound = tree.search(folded[a], int(n[a]), percent)
@@ -164,10 +166,20 @@ def _sketched(words):
         from lagspace.llm import jaccard
 
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        some: list[np.ndarray] = []
+
+        def add():
+            at = (np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            np.add(counts, np.bincount(at, minlength=len(counts)).astype(np.uint32), out=counts)
+            some.clear()
+
         for b in batches:
             for t in common.as_bytes(b.column(0)):
-                s = jaccard.shingles(t, words)
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1) if len(s) < 4000 else np.add(counts, np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32), out=counts)
+                some.append(jaccard.shingles(t, words))
+                if sum(map(len, some[-64:])) > 400_000 or len(some) >= 2000:
+                    add()
+        if some:
+            add()
         for i, part in enumerate(np.split(counts, PIECES)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["piece", "counts"])
 
@@ -228,7 +240,7 @@ def _searched(nearest, percent):
 
     def pairs_of(run_rows):
         names = [r[0] for r in run_rows]
-        found, more = candidates([r[1] for r in run_rows], [np.frombuffer(zlib.decompress(r[2]), dtype=np.uint16) for r in run_rows], [r[3] for r in run_rows] if nearest is None else None, nearest, percent)
+        found, more = candidates([r[1] for r in run_rows], [_unpacked(r[2]) for r in run_rows], [r[3] for r in run_rows] if nearest is None else None, nearest, percent)
         return [(names[i], names[j]) for i, j in found], more
 
     def run(batches):
@@ -331,8 +343,11 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     points = rows.where("point IS NOT NULL").select("node", "n_shingles", "point").dropDuplicates(["node"])
     keyed = rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct()
-    count = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.collect_list("node").alias("nodes"))
-    dealt = common.cut(count.where("m > 1").select("key", F.explode("nodes").alias("node")).join(points, "node").select("key", "node", "n_shingles", "point"))
+    trees = keyed.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+    # Near copies share most of their keys: of trees with the same nodes, one is enough.
+    whole = F.md5(F.array_join(F.transform("nodes", F.hex), "").cast("binary"))
+    trees = trees.groupBy(whole.alias("_same")).agg(F.min("key").alias("key"), F.first("nodes").alias("nodes"))
+    dealt = common.cut(trees.select("key", F.explode("nodes").alias("node")).join(points, "node").select("key", "node", "n_shingles", "point"))
     ddl = "a binary, b binary, more long"
     found = common.cut(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_searched(NEAREST, percent), ddl))
     links = _check(texts, rows, found, words, percent)

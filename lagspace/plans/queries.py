@@ -266,6 +266,43 @@ def ccm_surrogate(spark, d):
     return _out(ccm.ccm(_samples(spark, d, permuted=True), F.median))
 
 
+def _whole(spark, d, effect="y", cause="x", theta=None, permuted=False):
+    """Samples of the whole series: its first half is the library pool, the rest is predicted, and library sizes go up to the pool."""
+    s = both_days(spark, d)
+    n = s.count()
+    if permuted:
+        s = ccm.shuffled(s, cause, n, SEED)
+    pool = range(1, n // 2)
+    sizes = ccm.library_sizes(max(len(pool), 1), max(min(LIB_SIZES[0], len(pool)), 1), len(LIB_SIZES))[:-1]
+    drawn = ccm.draws(spark, sorted({*sizes, len(pool)}), N_SAMPLES, pool, ccm.sampler(SEED))
+    predicted = spark.range(n // 2, n).select(F.col("id").alias("t"))
+    return ccm.bootstrap(lagged_embed(s, 1, 2, x=effect), s.select("t", F.col(cause).alias("y0")), drawn, predicted, theta)
+
+
+def ccm_bootstrap_whole(spark, d):
+    return _out(_whole(spark, d))
+
+
+def ccm_mean_whole(spark, d):
+    return _out(ccm.ccm(_whole(spark, d)))
+
+
+def ccm_reverse_whole(spark, d):
+    return _out(ccm.ccm(_whole(spark, d, "x", "y")))
+
+
+def ccm_bands_whole(spark, d):
+    return _out(ccm.bands(_whole(spark, d)))
+
+
+def ccm_smap_whole(spark, d):
+    return _out(ccm.ccm(_whole(spark, d, theta=2.0)))
+
+
+def ccm_surrogate_whole(spark, d):
+    return _out(ccm.ccm(_whole(spark, d, permuted=True), F.median))
+
+
 # -- distances and spectra ---------------------------------------------------------
 
 

@@ -329,6 +329,11 @@ def pairwise_self(spark, d):
     return distance.pairwise_distance(few).select("id_a", "id_b", _r("d2").alias("d2"))
 
 
+def pairwise_self_whole(spark, d):
+    """All pairs of the whole table."""
+    return distance.pairwise_distance(vectors(spark, d)).select("id_a", "id_b", _r("d2").alias("d2"))
+
+
 def dtw_users(spark, d):
     """Each user's values against those of the user with the next id."""
     s = users(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda p: p["x"]).alias("a"))

@@ -60,3 +60,12 @@ def test_ccm_of_the_whole_series(spark, sf_dir, days):
     assert {r.lib_size: r.rho for r in run("ccm_smap_whole")} == pytest.approx(by_size(cross_mapped(x, y, 2.0), np.mean), abs=2e-5)
     order = np.random.default_rng(q.SEED).permutation(len(x))
     assert {r.lib_size: r.rho for r in run("ccm_surrogate_whole")} == pytest.approx(by_size(cross_mapped(x[order], y), np.median), abs=2e-6)
+
+
+def test_pairwise_self_of_the_whole_table(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 120").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')").fetchall()
+    v = {i: np.asarray(e, dtype=np.float64) for i, e in rows}
+    got = __spark_entry__.queries()["pairwise_self_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) ** 2 > 3**2
+    assert {(r.id_a, r.id_b): r.d2 for r in got} == pytest.approx({(a, b): ((v[a] - v[b]) ** 2).sum() for a in v for b in v}, abs=2e-6)

@@ -11,11 +11,14 @@ passage is part of the article, since copies and quotations repeat too: there th
 array only tells how many tokens are repeated.
 
 A host may have any number of pages, so its pages are dealt to shards of about
-``SHARD`` pages; each has a suffix array of its own.
+``SHARD`` pages; each has a suffix array of its own, which gives every run of
+``SHORTEST`` tokens and how many distinct pages of the shard have it. These counts
+are summed over all shards of the host, and a run is repeated by the host's sum.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -37,6 +40,9 @@ COVERED = 0.5
 #: Hosts are broadcast with their counts up to this number, else joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
+#: The runs of a host are summed in so many parts at most.
+PARTS = 1024
+
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>)", re.S)
 _HINT = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _FURNITURE_HINT = re.compile(
@@ -186,6 +192,74 @@ def repeated(pages: list[list[str]], shortest: int = SHORTEST, least_pages: int
     return [covered[b : b + n] for b, n in zip(starts, lens)]
 
 
+def _streamed(pages: list[list[str]], shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens' hashes in one stream with a gap after each page, the lengths of pages, and the hash of the run at each position (0 where it would leave its page)."""
+    known: dict[str, int] = {}
+    lens = np.array([len(p) for p in pages], dtype=np.int64)
+    flat = np.zeros(int(lens.sum()) + len(pages), dtype=np.uint64)
+    left = np.zeros(len(flat), dtype=np.int64)
+    at = 0
+    for p in pages:
+        for t in p:
+            if t not in known:
+                known[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        flat[at : at + len(p)] = [known[t] for t in p]
+        left[at : at + len(p)] = np.arange(len(p), 0, -1)
+        at += len(p) + 1
+    runs = np.zeros(len(flat), dtype=np.uint64)
+    for j in range(min(shortest, len(flat))):
+        runs[: len(flat) - j] = (runs[: len(flat) - j] ^ flat[j:]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    runs |= np.uint64(1)
+    runs[left < shortest] = 0
+    return flat, lens, runs
+
+
+def shard_runs(pages: list[list[str]], keys: list, seen: tuple | None = None, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+    """Hashes of a shard's distinct runs of the shortest length, ascending; how many distinct page keys have each; and (last key, its runs).
+
+    Rows with the same key are one page and stand together. seen is the third
+    result of the rows before, so that a page cut in two is counted once.
+    """
+    flat, lens, runs = _streamed(pages, shortest)
+    if not runs.any():
+        last = (keys[-1], seen[1] if seen and seen[0] == keys[-1] else np.zeros(0, np.uint64)) if keys else seen
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), last
+    numbers: dict = {}
+    page = np.repeat([numbers.setdefault(k, len(numbers)) for k in keys], lens + 1)
+    ends = np.cumsum(lens + 1) - 1
+    stream = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    stream[ends] = -1 - np.arange(len(pages))
+    sa, lcp = suffix_array(stream)
+    group = np.concatenate([[0], np.cumsum(lcp < shortest)])
+    whole = runs[sa] != 0
+    sa, group = sa[whole], group[whole]
+    pairs = np.unique(group * len(numbers) + page[sa])
+    names = np.zeros(int(group.max()) + 1, dtype=np.uint64)
+    names[group] = runs[sa]
+    who, of = pairs // len(numbers), pairs % len(numbers)
+    mine = names[who[of == numbers[keys[-1]]]]
+    first = np.ones(len(pairs), dtype=bool)
+    if seen and seen[0] == keys[0]:
+        first = ~((of == 0) & np.isin(names[who], seen[1]))
+        if seen[0] == keys[-1]:
+            mine = np.union1d(mine, seen[1])
+    found, at = np.unique(names[who[first]], return_inverse=True)
+    return found, np.bincount(at, minlength=len(found)), (keys[-1], mine)
+
+
+def covered_by(pages: list[list[str]], repeats: np.ndarray, shortest: int = SHORTEST) -> list[np.ndarray]:
+    """Of each page's tokens, which are covered by one of the runs."""
+    _, lens, runs = _streamed(pages, shortest)
+    hit = np.flatnonzero(np.isin(runs, repeats) & (runs != 0))
+    cover = np.zeros(len(runs) + 1, dtype=np.int64)
+    np.add.at(cover, hit, 1)
+    np.add.at(cover, hit + shortest, -1)
+    covered = np.cumsum(cover[:-1]) > 0
+    starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
+    return [covered[b : b + n] for b, n in zip(starts, lens)]
+
+
 def main_text(found: list[tuple[int, str]], covered: np.ndarray) -> tuple[str, int]:
     """The main text of a page's blocks and how many of its tokens are repeated. covered: for the tokens of all blocks in order."""
     inside = any(k == MAIN for k, _ in found)
@@ -206,29 +280,102 @@ def main_text(found: list[tuple[int, str]], covered: np.ndarray) -> tuple[str, i
 def _parsed(batches):
     for b in batches:
         packed = [zlib.compress(json.dumps(blocks(x or "")).encode("utf-8", "surrogatepass"), 1) for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), b.column(3), b.column(4), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "shard", "blocks"])
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), b.column(3), b.column(4), b.column(5), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "shards", "shard", "blocks"])
 
 
-def _extracted(batches):
-    """Shards stand in sorted rows, one after the other."""
+def _tokens(packed: bytes) -> list[str]:
+    return [t for _, text in json.loads(zlib.decompress(packed)) for t in text.split(" ")]
+
+
+def _key(page_id, url):
+    """What makes two rows the same page: the id, or the url where it is null."""
+    return ("", url) if page_id is None else page_id
+
+
+def _counted(batches):
+    """host, part, shard, runs, pages: the runs of a shard, by part. Shards stand in sorted rows, one after the other."""
     from lagspace.llm import html as own
 
+    key, rows, seen = None, [], None
+
+    def counted():
+        nonlocal seen
+        host, shard, shards = key
+        runs, pages, seen = own.shard_runs([own._tokens(r[2]) for r in rows], [own._key(r[0], r[1]) for r in rows], seen)
+        part = (runs % np.uint64(min(shards, PARTS))).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        runs, pages, part = runs[order], pages[order], part[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+        out = [(host, int(part[b]), shard, runs[b:e].tobytes(), zlib.compress(pages[b:e].tobytes(), 1)) for b, e in zip(cuts[:-1], cuts[1:])]
+        cols = list(zip(*out)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["host", "part", "shard", "runs", "pages"])
+
+    for b in batches:
+        for page_id, url, host, shards, shard, packed in zip(*[c.to_pylist() for c in b.columns]):
+            if (host, shard, shards) != key or len(rows) >= 4 * SHARD:
+                if rows:
+                    yield counted()
+                if (host, shard, shards) != key:
+                    seen = None
+                key, rows = (host, shard, shards), []
+            rows.append((page_id, url, packed))
+    if rows:
+        yield counted()
+
+
+def _summed(batches):
+    """host, shard, runs: those of each shard's runs that enough pages of the host have."""
     key, rows = None, []
 
+    def repeats():
+        runs = [np.frombuffer(r[1], np.uint64) for r in rows]
+        found, at = np.unique(np.concatenate(runs), return_inverse=True)
+        pages = np.bincount(at, np.concatenate([np.frombuffer(zlib.decompress(r[2]), np.int64) for r in rows]), len(found))
+        enough = (pages >= PAGES)[at]
+        cuts = np.cumsum([len(x) for x in runs])[:-1]
+        kept = [(key[0], r[0], x[k].tobytes()) for r, x, k in zip(rows, runs, np.split(enough, cuts)) if k.any()]
+        cols = list(zip(*kept)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["host", "shard", "runs"])
+
+    for b in batches:
+        for host, part, shard, runs, pages in zip(*[c.to_pylist() for c in b.columns]):
+            if (host, part) != key:
+                if rows:
+                    yield repeats()
+                key, rows = (host, part), []
+            rows.append((shard, runs, pages))
+    if rows:
+        yield repeats()
+
+
+def _extracted(batches):
+    """Shards stand in sorted rows, one after the other, each with its repeated runs before its pages."""
+    from lagspace.llm import html as own
+
+    key, rows, runs, repeats = None, [], [], None
+
     def shard():
+        nonlocal repeats
+        if repeats is None:
+            repeats = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r, np.uint64) for r in runs]]))
         pages = [json.loads(zlib.decompress(r[2])) for r in rows]
-        covered = own.repeated([[t for _, text in p for t in text.split(" ")] for p in pages])
+        covered = own.covered_by([[t for _, text in p for t in text.split(" ")] for p in pages], repeats)
         done = [(r[0], r[1], *own.main_text([tuple(x) for x in p], c)) for r, p, c in zip(rows, pages, covered)]
         cols = list(zip(*done))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array([len(t) for t in cols[2]], pa.int64()), pa.array(cols[3], pa.int64())], names=["page_id", "url", "text", "n_chars", "repeated"])
 
     for b in batches:
-        for page_id, url, host, part, packed in zip(*[c.to_pylist() for c in b.columns]):
+        for page_id, url, host, part, packed, is_page in zip(*[c.to_pylist() for c in b.columns]):
             if (host, part) != key or len(rows) >= 4 * SHARD:
                 if rows:
                     yield shard()
+                if (host, part) != key:
+                    runs, repeats = [], None
                 key, rows = (host, part), []
-            rows.append((page_id, url, packed))
+            if is_page:
+                rows.append((page_id, url, packed))
+            else:
+                runs.append(packed)
     if rows:
         yield shard()
 
@@ -237,14 +384,18 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, repeated of every row of pages.
 
     A null or empty page has an empty text, and so has one without a block to
-    keep. Pages with a null url share the empty host. Repeated rows stay repeated.
+    keep. Pages with a null url share the empty host. Repeated rows stay repeated,
+    and count as one page.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     rows = common.pick(pages, "page_id", "url", "html").withColumn("host", host)
     counts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
     if counts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         counts = F.broadcast(counts)
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int")
-    dealt = rows.join(counts, "host").select("page_id", "url", "html", "host", shard.alias("shard"))
-    parsed = dealt.mapInArrow(_parsed, "page_id long, url string, host string, shard int, blocks binary")
-    return parsed.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, repeated long")
+    shard = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("long"), F.xxhash64("url"))), F.col("shards")).cast("int")
+    dealt = rows.join(counts, "host").select("page_id", "url", "html", "host", "shards", shard.alias("shard"))
+    parsed = dealt.mapInArrow(_parsed, "page_id long, url string, host string, shards int, shard int, blocks binary")
+    own = parsed.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id", "url").mapInArrow(_counted, "host string, part int, shard int, runs binary, pages binary")
+    repeats = own.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(_summed, "host string, shard int, runs binary")
+    both = parsed.select("page_id", "url", "host", "shard", "blocks", F.lit(1).alias("is_page")).unionByName(repeats.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "shard", F.col("runs").alias("blocks"), F.lit(0).alias("is_page")))
+    return both.repartition("host", "shard").sortWithinPartitions("host", "shard", "is_page", "page_id", "url").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, repeated long")

@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").where(allowed)
     free = ids.orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(SAMPLE).select("doc_id", F.lit(0).alias("trusted"))
     few = trusted.unionByName(free)
-    rows = texts.join(F.broadcast(few), "doc_id").select("text", "trusted").mapInArrow(_features, "features array<double>, trusted int").collect()
+    # Ids may repeat: the driver gets no more rows than the samples have ids.
+    rows = texts.join(F.broadcast(few), "doc_id").select("text", "trusted").mapInArrow(_features, "features array<double>, trusted int").orderBy(F.xxhash64("features"), "trusted", "features").limit(2 * SAMPLE).collect()
     p = np.array([r.features for r in rows if r.trusted], dtype=np.float64)
     u = np.array([r.features for r in rows if not r.trusted], dtype=np.float64)
     if not len(p) or not len(u):
@@ -199,25 +200,46 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return Model(mean, scale, layers, curve(forward(layers, p)[1], forward(layers, u)[1], prior), prior)
 
 
+def _probabilities(model: Model | None, column) -> np.ndarray:
+    """Scores of a column of texts; 0.5 without a model."""
+    texts = common.as_bytes(column)
+    return np.full(len(texts), 0.5) if model is None or not texts else model.probability(np.array([features(t) for t in texts], dtype=np.float64))
+
+
 def _scores(model, threshold):
     def run(batches):
         for b in batches:
-            m = model.value
-            texts = common.as_bytes(b.column(b.schema.get_field_index("text")))
-            x = np.array([features(t) for t in texts], dtype=np.float64)
-            s = np.full(len(texts), 0.5) if m is None else m.probability(x) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*b.schema.names, "score", "predicted"])
+            s = _probabilities(model.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
+
+    return run
+
+
+def _kept(model, threshold):
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_probabilities(model.value, b.column(b.schema.get_field_index("text"))) >= threshold, pa.bool_()))
 
     return run
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted. A null text is empty; without a model every score is 0.5."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double, predicted int"
-    return docs.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), threshold), schema)
+    """doc_id, score, predicted of every row. A null text is empty; without a model every score is 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return common.pick(docs, "doc_id", "text").mapInArrow(_scores(shared, threshold), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that a model fitted on them takes for good, with all their columns, whatever these are called.
+
+    A null text is judged as the empty one, repeated rows are judged alike, and an
+    empty table stays empty. Without a positive row to learn from, all stay.
+    """
+    model = fit(docs, labels)
+    return docs if model is None else docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row. Repeated rows stay repeated; a null doc_id stays null and isn't held out."""
-    out = score(common.pick(docs, "doc_id", "text"), fit(docs, labels))
+    out = score(docs, fit(docs, labels))
     return out.select("doc_id", F.coalesce(F.pmod(common.crc_of_id("doc_id"), F.lit(FOLDS)) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")

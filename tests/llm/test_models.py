@@ -45,14 +45,84 @@ def test_toxicity_finds_planted_words(spark):
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.93
 
 
-def test_kneser_ney_models_are_normalised():
-    from collections import Counter
-
-    single = (Counter({b"a": 5, b"b": 2}), Counter({b"a": 1, b"c": 4}))
-    pair = (Counter({(b"a", b"b"): 3}), Counter({(b"a", b"c"): 2}))
-    m = toxicity.kneser_ney(single, pair, 0.8)
-    assert m.evidence(b"").shape == (0,) and np.isfinite(m.evidence(b"a b c unknown")).all()
-    assert m.evidence(b"c")[0] > 0 > m.evidence(b"b")[0]
+def counted(words_of):
+    """N-grams and their counts by class of two lists of words."""
+    found = {}
+    for k, ws in enumerate(words_of):
+        for w in ws:
+            for g in toxicity.grams(w, 3):
+                found.setdefault(g, [0, 0])[k] += 1
+    runs = sorted(found)
+    return runs, np.array([found[r] for r in runs])
+
+
+def plain_kneser_ney(runs, counts, k, context, char):
+    """The probability of a character after a context, by the definition: raw counts of a class, then continuation counts of both."""
+
+    def take(c):
+        ones, twos = sum(x == 1 for x in c), sum(x == 2 for x in c)
+        return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def lower(h, c):
+        kinds = {r[-len(h) - 2 :] for r in runs if len(r) >= len(h) + 2}
+        n = {}
+        for x in kinds:
+            n[x[1:]] = n.get(x[1:], 0) + 1
+        d, mine = take(n.values()), {x: v for x, v in n.items() if x[:-1] == h}
+        below = lower(h[1:], c) if h else 1 / (len({r[-1] for r in runs}) + 1)
+        if not mine:
+            return below
+        return (max(mine.get(h + c, 0) - d, 0) + d * len(mine) * below) / sum(mine.values())
+
+    n = {r: int(v) for r, v in zip(runs, counts[:, k]) if v}
+    d, mine = take(n.values()), {r: v for r, v in n.items() if r[:-1] == context}
+    if not mine:
+        return lower(context[1:], char)
+    return (max(mine.get(context + char, 0) - d, 0) + d * len(mine) * lower(context[1:], char)) / sum(mine.values())
+
+
+def test_kneser_ney_matches_its_definition_and_sums_to_one():
+    r = random.Random(3)
+    runs, counts = counted([["".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(40)] for _ in range(2)])
+    m, p = toxicity.kneser_ney(runs, counts, 3)
+    for i, g in enumerate(runs):
+        for k in (0, 1):
+            assert p[k][i] == pytest.approx(plain_kneser_ney(runs, counts, k, g[:-1], g[-1]))
+    for context in {g[:-1] for g in runs}:
+        for k in (0, 1):
+            assert sum(plain_kneser_ney(runs, counts, k, context, c) for c in "abc ?") == pytest.approx(1)
+    for word in ("abc", "aacb", "xa", "c"):
+        want = sum(np.log(plain_kneser_ney(runs, counts, 1, g[:-1], g[-1]) / plain_kneser_ney(runs, counts, 0, g[:-1], g[-1])) for g in toxicity.grams(word, 3))
+        assert m.of_words([word.encode()])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_of_inflected_rare_expressions(spark):
+    """Every toxic text has few words of a stem, each inflected in a way that is seen hardly twice."""
+    r = random.Random(5)
+    syllables = ["ba", "ko", "mi", "ru", "se", "ta", "no", "li", "du", "fe"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+    rows, marks = [], []
+    for i in range(900):
+        w = [word() for _ in range(r.randint(30, 600))]
+        if i % 6 == 0:
+            for _ in range(2):
+                w[r.randrange(len(w))] = "zugra" + word()
+        rows.append((i, " ".join(w)))
+        marks.append((i, 1, int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(x.predicted for x in got if x.toxic) >= 0.95 * sum(x.toxic for x in got)
+    assert sum(x.predicted for x in got if not x.toxic) <= 0.02 * len(got)
+
+
+def test_toxicity_on_labelled_documents(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.scored(docs, labels).join(labels.where("toxic IS NOT NULL"), "doc_id").where("held_out").collect()
+    assert auc(got, "toxic") > 0.95
+    assert sum(x.predicted for x in got if x.toxic) > 0.85 * sum(x.toxic for x in got)
+    assert sum(x.predicted for x in got if not x.toxic) < 0.01 * len(got)
 
 
 def test_quality_learns_from_positives(more):

@@ -12,17 +12,19 @@ from lagspace.llm import common, jaccard, packing, quality, secrets, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models reject go."""
-    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    """Documents that the class-conditional models reject go.
+
+    A null or empty text has no evidence against it and stays; repeated rows are judged alike; an empty table stays empty.
+    """
+    return toxicity.kept(docs, common.table(spark, sf_dir, "labels"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. Without a positive label to learn from, all stay."""
-    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    if model is None:
-        return docs
-    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    """Documents that the quality classifier rejects go. Without a positive label to learn from, all stay.
+
+    A null text is judged as the empty one; repeated rows are judged alike; an empty table stays empty.
+    """
+    return quality.kept(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def plain_kneser_ney(runs, counts, k, context, char):
 def test_kneser_ney_matches_its_definition_and_sums_to_one():
     r = random.Random(3)
     runs, counts = counted([["".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(40)] for _ in range(2)])
-    m, p = toxicity.kneser_ney(runs, counts, 3)
+    m, p = toxicity.kneser_ney(toxicity.justified(runs, 3), counts)
     for i, g in enumerate(runs):
         for k in (0, 1):
             assert p[k][i] == pytest.approx(plain_kneser_ney(runs, counts, k, g[:-1], g[-1]))

@@ -49,7 +49,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    WORDS = 300_000
+    WORDS = 150_000
     CHUNK_BYTES = 40_000_000
     CHUNK_BITS = 9
     LONGEST_CHUNK = 8192

@@ -54,8 +54,20 @@ def crc_of_id(doc_id: str | F.Column):
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+#: Rows that a Python worker gets at once, if the session still has Spark's own setting.
+BATCH_ROWS = "500"
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_ROWS, so that long texts or sets don't add up in a worker; a setting of the caller's stays."""
+    if spark.conf.get(_BATCHES, None) == "10000":
+        spark.conf.set(_BATCHES, BATCH_ROWS)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns (whatever their names) never clash with the operator's own."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 

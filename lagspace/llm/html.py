@@ -2,13 +2,14 @@
 
 A page is cut into text blocks, each with what its surroundings say: inside the
 page's main container (article, main), inside furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, comments), or neither. The blocks of a host's
-pages are one stream of tokens, whose suffix array (prefix doubling, in numpy)
-shows the substrings of at least ``SHORTEST`` tokens that stand in several
-distinct pages. Blocks outside a main container that such substrings cover are
-boilerplate; so is furniture, covered or not. Inside an article a repeated
-passage is part of the article, since copies and quotations repeat too: there the
-array only tells how many tokens are repeated.
+sidebars, notices, adverts, forms, comments), or neither. What stands outside main
+containers (on a page without one: everything) makes the host's stream of tokens,
+whose suffix array (prefix doubling, in numpy) shows the substrings of at least
+``SHORTEST`` tokens that stand in several distinct pages. Blocks of the stream that
+such substrings cover are boilerplate; so is furniture, covered or not, and on a
+page with a container whatever stands outside it. Text inside a container isn't in
+the stream: copies, quotations and a heading that a menu repeats are part of the
+article.
 
 A host may have any number of pages, so its pages are dealt to shards of about
 ``SHARD`` pages; each has a suffix array of its own, which gives every run of
@@ -260,27 +261,36 @@ def covered_by(pages: list[list[str]], repeats: np.ndarray, shortest: int = SHOR
     return [covered[b : b + n] for b, n in zip(starts, lens)]
 
 
+def outside(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks that the host's stream has: those outside the page's main containers, or all where it has none."""
+    return [x for x in found if x[0] != MAIN] if any(k == MAIN for k, _ in found) else found
+
+
 def main_text(found: list[tuple[int, str]], covered: np.ndarray) -> tuple[str, int]:
-    """The main text of a page's blocks and how many of its tokens are repeated. covered: for the tokens of all blocks in order."""
+    """The main text of a page's blocks and how many tokens of its outside blocks are repeated. covered: for the tokens of these in order."""
     inside = any(k == MAIN for k, _ in found)
-    kept, repeats, at = [], 0, 0
+    kept, at = [], 0
     for kind, text in found:
+        if kind == MAIN:
+            kept.append(text)
+            continue
         n = text.count(" ") + 1
         part = covered[at : at + n]
         at += n
-        if kind == FURNITURE or (inside and kind != MAIN):
-            continue
-        if kind == PLAIN and part.mean() >= COVERED:
-            continue
-        kept.append(text)
-        repeats += int(part.sum())
-    return "\n\n".join(kept), repeats
+        if kind == PLAIN and not inside and part.mean() < COVERED:
+            kept.append(text)
+    return "\n\n".join(kept), int(covered.sum())
 
 
-def _parsed(batches):
-    for b in batches:
-        packed = [zlib.compress(json.dumps(blocks(x or "")).encode("utf-8", "surrogatepass"), 1) for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), b.column(3), b.column(4), b.column(5), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "shards", "shard", "blocks"])
+def _parsed(which):
+    """Blocks of each page, packed: all of them, or those that ``which`` leaves."""
+
+    def run(batches):
+        for b in batches:
+            packed = [zlib.compress(json.dumps(which(blocks(x or ""))).encode("utf-8", "surrogatepass"), 1) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), b.column(3), b.column(4), b.column(5), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "shards", "shard", "blocks"])
+
+    return run
 
 
 def _tokens(packed: bytes) -> list[str]:
@@ -359,7 +369,7 @@ def _extracted(batches):
         if repeats is None:
             repeats = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r, np.uint64) for r in runs]]))
         pages = [json.loads(zlib.decompress(r[2])) for r in rows]
-        covered = own.covered_by([[t for _, text in p for t in text.split(" ")] for p in pages], repeats)
+        covered = own.covered_by([[t for _, text in own.outside(p) for t in text.split(" ")] for p in pages], repeats)
         done = [(r[0], r[1], *own.main_text([tuple(x) for x in p], c)) for r, p, c in zip(rows, pages, covered)]
         cols = list(zip(*done))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array([len(t) for t in cols[2]], pa.int64()), pa.array(cols[3], pa.int64())], names=["page_id", "url", "text", "n_chars", "repeated"])
@@ -394,8 +404,10 @@ def extracted(pages: DataFrame) -> DataFrame:
         counts = F.broadcast(counts)
     shard = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("long"), F.xxhash64("url"))), F.col("shards")).cast("int")
     dealt = rows.join(counts, "host").select("page_id", "url", "html", "host", "shards", shard.alias("shard"))
-    parsed = dealt.mapInArrow(_parsed, "page_id long, url string, host string, shards int, shard int, blocks binary")
-    own = parsed.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id", "url").mapInArrow(_counted, "host string, part int, shard int, runs binary, pages binary")
+    ddl = "page_id long, url string, host string, shards int, shard int, blocks binary"
+    # Pages are parsed twice, so that only the few blocks outside containers are shuffled for the arrays.
+    own = dealt.mapInArrow(_parsed(outside), ddl).repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id", "url").mapInArrow(_counted, "host string, part int, shard int, runs binary, pages binary")
+    parsed = dealt.mapInArrow(_parsed(list), ddl)
     repeats = own.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(_summed, "host string, shard int, runs binary")
     both = parsed.select("page_id", "url", "host", "shard", "blocks", F.lit(1).alias("is_page")).unionByName(repeats.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "shard", F.col("runs").alias("blocks"), F.lit(0).alias("is_page")))
     return both.repartition("host", "shard").sortWithinPartitions("host", "shard", "is_page", "page_id", "url").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, repeated long")

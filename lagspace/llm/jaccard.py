@@ -115,7 +115,7 @@ def _folded(p: np.ndarray, groups: int) -> np.ndarray:
     return p.astype(np.int32) if len(p) == groups else p.astype(np.int32).reshape(-1, groups).sum(0)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=512)
 def _unpacked(point: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(point), dtype=np.uint16)
 
@@ -225,7 +225,7 @@ def _noded(shared, words, percent):
                     points.append(None)
                     keys.append(None)
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 100_000:
                     seen.add(node)
                 count = rarity[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 keys.append(s[np.lexsort((s, count))[: prefix_length(len(s), percent)]].astype(np.int64))
@@ -253,7 +253,7 @@ def _searched(nearest, percent):
                 for a, b in found:
                     p = (a, b) if a < b else (b, a)
                     if p not in known:
-                        if len(known) < 500_000:
+                        if len(known) < 50_000:
                             known.add(p)
                         out.append((*p, None))
                 if more:

@@ -6,9 +6,10 @@ fill sequences by themselves. Every other piece goes where the sum, over all
 residual gaps, of the squared number of open sequences with that gap becomes
 smallest; a new sequence counts as one of the choices, ties go to the smallest
 gap. The rule's state is a count per gap, at most as many numbers as a sequence
-has tokens, so a task packs the rows that it reads in one pass, with no shuffle
-and nothing collected. What each task leaves open is the only loss against
-packing all rows in one stream.
+has tokens, so a task packs the rows that it reads in one pass. The few sequences
+that a task leaves with room, fewer than a number that its rows don't change, are
+opened again: a second pass packs the pieces of 64 tasks together by the same
+rule, so the result hardly depends on how the input is split.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ END_ID = 2
 HORIZON = 1 << 16
 #: Sequence ids of a task begin at its partition times this.
 SPAN = 1 << 40
+#: And those of the second pass this much higher; one of its streams takes what so many tasks left.
+LEFT = 1 << 61
+TASKS = 64
 
 
 class SumOfSquares:
@@ -74,21 +78,30 @@ def order(length: int, mixed: int, capacity: int) -> tuple[int, int]:
 
 
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+KINDS = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
 DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def _packed(path: str, capacity: int, end_id: int):
+    """Pieces of a task's rows, placed; left: its sequence has room left at the task's end."""
+
     def run(batches):
         from lagspace.llm import bpe
 
         c, end = bpe.codec(path), np.uint32(end_id).tobytes()
         packer = SumOfSquares(capacity, TaskContext.get().partitionId() * SPAN)
-        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+        room: dict[int, list[tuple]] = {}
 
         def placed(todo):
             todo.sort(key=lambda x: order(x[3], x[4], capacity))
-            rows = [(*x, *packer.place(x[3])) for x in todo]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=NAMES)
+            closed = []
+            for x in todo:
+                sequence, offset = packer.place(x[3])
+                held = room.setdefault(sequence, [])
+                held.append((*x, sequence, offset))
+                if offset + x[3] == capacity:
+                    closed += room.pop(sequence)
+            return _batch(closed, False)
 
         todo: list[tuple] = []
         for b in batches:
@@ -99,8 +112,26 @@ def _packed(path: str, capacity: int, end_id: int):
                 if len(todo) >= HORIZON:
                     yield placed(todo)
                     todo = []
+        yield placed(todo)
+        yield _batch([x for held in room.values() for x in held], True)
+
+    return run
+
+
+def _batch(rows: list[tuple], left: bool) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(KINDS)
+    return pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(cols, KINDS)], pa.array([left] * len(rows), pa.bool_())], names=[*NAMES, "left"])
+
+
+def _packed_again(capacity: int):
+    """The same rule over the pieces that tasks left in sequences with room."""
+
+    def run(batches):
+        packer = SumOfSquares(capacity, LEFT + TaskContext.get().partitionId() * SPAN)
+        todo = [x for b in batches for x in zip(*[c.to_pylist() for c in b.columns[:5]])]
+        todo.sort(key=lambda x: (-x[3], x[4], x[0] or 0, x[1]))
         if todo:
-            yield placed(todo)
+            yield _batch([(*x, *packer.place(x[3])) for x in todo], True).drop_columns(["left"])
 
     return run
 
@@ -110,9 +141,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     A null or empty text is a document of the end id alone. Repeated rows are
     packed each by itself; a null doc_id stays null. An empty table gives no
-    rows. A task that is run again reads the same rows in the same order and so
-    gives the same sequences.
+    rows. What tasks have placed is written to the shared folder, so a lost
+    executor doesn't change a sequence.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    return common.pick(docs, "doc_id", "text").mapInArrow(_packed(path or common.tokenizer_path(), capacity, end_id), DDL)
+    rows = common.pick(docs, "doc_id", "text")
+    placed = common.cut(rows.mapInArrow(_packed(path or common.tokenizer_path(), capacity, end_id), DDL + ", left boolean"))
+    streams = max(1, -(-placed.rdd.getNumPartitions() // TASKS))
+    again = placed.where("left").drop("left").repartition(streams).mapInArrow(_packed_again(capacity), DDL)
+    return placed.where("NOT left").drop("left").unionByName(again)

@@ -32,9 +32,8 @@ KINDS = ("assign", "access", "hex", "bare")
 _ANY = "|".join([_NAME + r"[\"']?\x20*[:=]", "AKIA[A-Z0-9]{12}", "[0-9a-f]{32}", BARE])
 
 
-def _matches(kind: int, pattern: str, value_group: int, least: int) -> Column:
+def _matches(text: Column, kind: int, pattern: str, value_group: int, least: int) -> Column:
     """Of each match in order: code points before it since the last match, its length, whether it counts, and the hash of its value."""
-    text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     parts = F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("match"), values.alias("value"))
@@ -53,8 +52,9 @@ def _matches(kind: int, pattern: str, value_group: int, least: int) -> Column:
 
 
 def flagged(docs: DataFrame) -> DataFrame:
-    """The rows that may hold a candidate, numbered (_row) and written once to the shared folder."""
-    return common.cut(docs.where(F.col("text").rlike(_ANY)).withColumn("_row", F.monotonically_increasing_id()))
+    """The rows that may hold a candidate, each whole as a struct (own), numbered (_row) and written once to the shared folder."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return common.cut(docs.where(F.col("text").rlike(_ANY)).select(own.alias("own"), F.monotonically_increasing_id().alias("_row")))
 
 
 def spans(rows: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -63,9 +63,10 @@ def spans(rows: DataFrame, owner: str = "source", repository: str = "doc_id", ma
     Null owners or repositories count together as one. Positions are code points,
     ends exclusive.
     """
-    every = F.concat(_matches(0, ASSIGN, 2, 8), _matches(1, ACCESS, 0, 16), _matches(2, HEX, 0, 32), _matches(3, BARE, 0, 24))
-    own = F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")) if owner in rows.columns else F.lit("")
-    repo = F.coalesce(F.col(f"`{repository}`").cast("string"), F.lit("")) if repository in rows.columns else F.col("_row").cast("string")
+    columns, text = rows.schema["own"].dataType.names, F.col("own")["text"]
+    every = F.concat(_matches(text, 0, ASSIGN, 2, 8), _matches(text, 1, ACCESS, 0, 16), _matches(text, 2, HEX, 0, 32), _matches(text, 3, BARE, 0, 24))
+    own = F.coalesce(F.col("own")[owner].cast("string"), F.lit("")) if owner in columns else F.lit("")
+    repo = F.coalesce(F.col("own")[repository].cast("string"), F.lit("")) if repository in columns else F.col("_row").cast("string")
     found = rows.select("_row", own.alias("owner"), repo.alias("repository"), F.explode(every).alias("m")).select("_row", "owner", "repository", "m.*")
     so_far = Window.partitionBy("_row", "kind").orderBy("nth")
     found = found.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).where("counts")
@@ -94,7 +95,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     hit = flagged(rows)
     by_row = spans(hit).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("found"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")
-    with_found = hit.select("_row", "doc_id").join(by_row, "_row", "left").select("doc_id", F.coalesce("found", none).alias("found"))
+    with_found = hit.select("_row", F.col("own")["doc_id"].alias("doc_id")).join(by_row, "_row", "left").select("doc_id", F.coalesce("found", none).alias("found"))
     rest = rows.where(~F.coalesce(F.col("text").rlike(_ANY), F.lit(False))).select("doc_id", none.alias("found"))
     found = F.col("found")
     base = F.filter(found, lambda s: s["kind"] < 3)
@@ -114,7 +115,9 @@ def scanned(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs, the live spans of each text replaced by MASK (overlapping ones by one); n_chars, where there is one, follows the text.
 
-    Copied examples stay, and so does every row and column.
+    Copied examples stay, and so does every row and column, whatever the columns
+    are called. A null or empty text holds nothing to replace; repeated rows are
+    one repository and change alike; an empty table stays empty.
     """
     hit = flagged(docs)
     live = spans(hit).where("live").select("_row", "start", "end")
@@ -122,11 +125,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     pieces = live.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("end") > F.col("before")).select("_row", "before", F.greatest("start", "before").alias("start"), "end", (F.col("start") < F.col("before")).alias("joined"))
     by_row = pieces.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("before", "start", "end", "joined"))).alias("_cut"), F.max("end").alias("_tail"))
-    text = F.col("text")
+    text = F.col("own")["text"]
     piece = lambda s: F.concat(text.substr((s["before"] + 1).cast("int"), (s["start"] - s["before"]).cast("int")), F.when(s["joined"], "").otherwise(MASK))
     changed = F.concat(F.array_join(F.transform("_cut", piece), ""), text.substr((F.col("_tail") + 1).cast("int"), F.length(text)))
-    out = hit.join(by_row, "_row", "left").withColumn("text", F.when(F.col("_cut").isNotNull(), changed).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    rest = docs.where(~F.coalesce(text.rlike(_ANY), F.lit(False)))
-    return rest.unionByName(out.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    out = hit.join(by_row, "_row", "left").withColumn("_new", F.when(F.col("_cut").isNotNull(), changed).otherwise(text))
+    new = {"text": F.col("_new")} | ({"n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    rest = docs.where(~F.coalesce(F.col("text").rlike(_ANY), F.lit(False)))
+    return rest.unionByName(out.select(*[new.get(c, F.col("own")[c]).alias(c) for c in docs.columns]))

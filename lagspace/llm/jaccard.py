@@ -13,9 +13,12 @@ corpus (a count sketch of fixed size; how exact it is changes the cost, never th
 result), hence what thousands of documents share makes no large tree.
 
 A tree gives each of its points its nearest few partners, which are verified on
-whole sets; linked nodes are joined to components. Trees that had more to give
-are searched once more, for all partners in other components, so that copies
-don't become all pairs and no link between components is lost.
+whole sets; linked nodes are joined to components. A tree of more than ``SLICE``
+nodes is cut in parts that share some nodes. Trees that had more to give, or were
+cut, and still hold several components are searched once more, for all partners in
+other components, a block of queries against a block of points at a time; so
+copies don't become all pairs, no tree must fit a task, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -39,6 +42,11 @@ SKETCH_BITS = 22
 PIECES = 64
 NEAREST = 3
 LEAF = 16
+#: Nodes of a tree that are searched together; a larger tree is cut in parts, and about CENTRES of its nodes stand in all of them.
+SLICE = 512
+CENTRES = 32
+#: Nodes of one side of a block, where all partners in other components are sought.
+BLOCK = 4096
 #: Ids are broadcast up to this count, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -120,32 +128,44 @@ def _unpacked(point: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(point), dtype=np.uint16)
 
 
-def candidates(sizes: list[int], points: list[np.ndarray], components: list | None, nearest: int | None, percent: int = PERCENT):
+def candidates(sizes: list[int], points: list[np.ndarray], components: list | None, nearest: int | None, percent: int = PERCENT, sides: list[int] | None = None):
     """Pairs (i, j), i < j, of points of one tree that may be linked, and whether there were more than are given.
 
     nearest: at most so many partners are given for a point, those with the largest bounds relative to the sizes.
     components: pairs in one component are left out.
+    sides: of each point 0 or 1; pairs of one side are left out.
     """
     level = np.array([len(p) for p in points])
+    numbers: dict = {}
+    component = None if components is None else np.array([numbers.setdefault(c, len(numbers)) for c in components])
+    side = None if sides is None else np.array(sides)
     out, more = set(), False
     for groups in np.unique(level):
         here = np.flatnonzero((level == groups) | (level == 2 * groups))
         own = level[here] == groups
-        if len(here) < 2:
+        if len(here) < 2 or (component is not None and (component[here] == component[here[0]]).all()):
             continue
         folded = np.stack([_folded(points[i], int(groups)) for i in here])
         n = np.array([sizes[i] for i in here])
         if len(here) == 2:  # a single pair needs no tree
             bound = int(np.minimum(folded[0], folded[1]).sum())
-            if (100 + percent) * bound >= percent * int(n.sum()) and (components is None or components[here[0]] != components[here[1]]):
+            if (100 + percent) * bound >= percent * int(n.sum()) and (side is None or side[here[0]] != side[here[1]]):
                 out.add((int(here[0]), int(here[1])))
             continue
-        tree = RTree(folded, n)
-        for a in np.flatnonzero(own):
+        asked, among = np.flatnonzero(own), np.arange(len(here))
+        if side is not None:
+            asked, among = np.flatnonzero(side[here] == 0), np.flatnonzero(side[here] == 1)
+        elif component is not None:  # of a pair of two components, one isn't the largest
+            asked = np.flatnonzero(component[here] != np.bincount(component[here]).argmax())
+        if not len(asked) or not len(among):
+            continue
+        tree = RTree(folded[among], n[among])
+        for a in asked:
             found, bound = tree.search(folded[a], int(n[a]), percent)
-            keep = found != a
-            if components is not None:
-                keep &= np.array([components[here[f]] != components[here[a]] for f in found], dtype=bool)
+            found = among[found]
+            keep = (found != a) & (own[found] | own[a])  # two of the finer level meet in a tree of their own
+            if component is not None:
+                keep &= component[here[found]] != component[here[a]]
             found, bound = found[keep], bound[keep]
             if nearest is not None and len(found) > nearest:
                 more = True
@@ -236,37 +256,34 @@ def _noded(shared, words, percent):
 
 
 def _searched(nearest, percent):
-    """Trees of sorted rows (key, node, n, point[, component]): one for each run of a key."""
-
-    def pairs_of(run_rows):
-        names = [r[0] for r in run_rows]
-        found, more = candidates([r[1] for r in run_rows], [_unpacked(r[2]) for r in run_rows], [r[3] for r in run_rows] if nearest is None else None, nearest, percent)
-        return [(names[i], names[j]) for i, j in found], more
+    """Pairs of sorted rows (key, part, node, n, point[, component, side]): the points of a part of a key are one tree."""
 
     def run(batches):
-        key, rows = None, []
+        group, rows = None, []
         known: set = set()
 
         def flush(out):
-            if len(rows) > 1:
-                found, more = pairs_of(rows)
-                for a, b in found:
-                    p = (a, b) if a < b else (b, a)
-                    if p not in known:
-                        if len(known) < 50_000:
-                            known.add(p)
-                        out.append((*p, None))
-                if more:
-                    out.append((None, None, key))
+            if len(rows) < 2:
+                return
+            names = [r[0] for r in rows]
+            sides = [r[4] for r in rows] if nearest is None and rows[0][4] >= 0 else None
+            found, more = candidates([r[1] for r in rows], [_unpacked(r[2]) for r in rows], [r[3] for r in rows] if nearest is None else None, nearest, percent, sides)
+            for i, j in found:
+                p = (names[i], names[j]) if names[i] < names[j] else (names[j], names[i])
+                if p not in known:
+                    if len(known) < 50_000:
+                        known.add(p)
+                    out.append((*p, None))
+            if more:
+                out.append((None, None, group[0]))
 
         for b in batches:
             out: list = []
-            cols = [c.to_pylist() for c in b.columns]
-            for k, *rest in zip(*cols):
-                if k != key:
+            for key, part, *rest in zip(*[c.to_pylist() for c in b.columns]):
+                if (key, part) != group:
                     flush(out)
-                    key, rows = k, []
-                rows.append((*rest, None)[:4])
+                    group, rows = (key, part), []
+                rows.append(rest)
             yield _pairs(out)
         out = []
         flush(out)
@@ -341,21 +358,33 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     rows = common.cut(texts.mapInArrow(_noded(shared, words, percent), "doc_id long, n_shingles long, node binary, point binary, keys array<bigint>"))
     shared.unpersist()
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    points = rows.where("point IS NOT NULL").select("node", "n_shingles", "point").dropDuplicates(["node"])
-    keyed = rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node").distinct()
-    trees = keyed.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+    nodes = common.cut(rows.where("point IS NOT NULL").select("node", "n_shingles", "point", "keys").dropDuplicates(["node"]))
+    keyed = nodes.select("node", "n_shingles", "point", F.explode("keys").alias("key"))
+    # A tree is known by its size and two sums of its nodes' hashes, made on the map side first; its nodes are never gathered in a row.
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    trees = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
     # Near copies share most of their keys: of trees with the same nodes, one is enough.
-    whole = F.md5(F.array_join(F.transform("nodes", F.hex), "").cast("binary"))
-    trees = trees.groupBy(whole.alias("_same")).agg(F.min("key").alias("key"), F.first("nodes").alias("nodes"))
-    dealt = common.cut(trees.select("key", F.explode("nodes").alias("node")).join(points, "node").select("key", "node", "n_shingles", "point"))
+    trees = common.cut(trees.groupBy("size", "h0", "h1").agg(F.min("key").alias("key")).select("key", "size"))
+    dealt = common.cut(keyed.join(small(trees), "key").select("key", "node", "n_shingles", "point", "size"))
     ddl = "a binary, b binary, more long"
-    found = common.cut(dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_searched(NEAREST, percent), ddl))
+    parts = F.ceil(F.col("size") / SLICE).cast("int")
+    centre = F.pmod(F.xxhash64("node", F.lit("centre")), F.col("size")) < CENTRES
+    part = F.when((parts == 1) | ~centre, F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+    sliced = dealt.select("key", F.explode(part).alias("part"), "node", "n_shingles", "point")
+    found = common.cut(sliced.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_searched(NEAREST, percent), ddl))
     links = _check(texts, rows, found, words, percent)
     classes = components(links)
-    full = found.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
+    full = common.cut(found.where("more IS NOT NULL").select(F.col("more").alias("key")).unionByName(trees.where(F.col("size") > SLICE).select("key")).distinct())
     if not full.isEmpty():
-        again = dealt.join(full, "key").join(classes, "node", "left").select("key", "node", "n_shingles", "point", F.coalesce("component", "node").alias("component"))
-        rest = again.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_searched(None, percent), ddl)
+        again = dealt.join(small(full), "key").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        which = F.xxhash64("component")
+        mixed = common.cut(again.groupBy("key").agg(F.min(which).alias("a"), F.max(which).alias("b")).where("a != b").select("key"))
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        own, other = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.col("other")
+        rest = again.join(small(mixed), "key").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        side = F.when(own == other, -1).otherwise(F.when(own < other, 0).otherwise(1)).alias("side")
+        rest = rest.select("key", (F.least(own, other) * F.lit(1 << 16) + F.greatest(own, other)).alias("part"), "node", "n_shingles", "point", "component", side)
+        rest = rest.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_searched(None, percent), ddl)
         links = links.unionByName(_check(texts, rows, common.cut(rest), words, percent))
         classes = components(links)
     group = firsts.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")

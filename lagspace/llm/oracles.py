@@ -22,10 +22,13 @@ def _spans(kind: int, pattern: str, least: int, group: int = 0) -> str:
 FROM (SELECT doc_id, source, regexp_extract_all(text, '{_q(pattern)}', 0) AS m, regexp_extract_all(text, '{_q(pattern)}', {group}) AS v, string_split_regex(text, '{_q(pattern)}') AS p FROM d) WHERE len(m) > 0"""
 
 
+#: The base patterns, written as the contract has them.
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ACCESS, _HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
 _RUN = "[A-Za-z0-9_+/-]{24,}"
 SECRETS = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-f0 AS ({_spans(0, secrets.ASSIGN, 8, 2)} UNION ALL {_spans(1, secrets.ACCESS, 16)} UNION ALL {_spans(2, secrets.HEX, 32)} UNION ALL {_spans(3, _RUN, 24)}),
-f AS (SELECT doc_id, source, kind, e - length(m) AS s, e, v FROM f0 WHERE CASE kind WHEN 0 THEN length(v) >= 8 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE TRUE END),
+f0 AS ({_spans(0, _ASSIGN, 8, 2)} UNION ALL {_spans(1, _ACCESS, 16)} UNION ALL {_spans(2, _HEX, 32)} UNION ALL {_spans(3, _RUN, 24)}),
+f AS (SELECT doc_id, source, kind, e - length(m) AS s, e, v FROM f0 WHERE CASE kind WHEN 0 THEN length(v) >= 8 WHEN 1 THEN length(m) >= 16 WHEN 2 THEN length(m) >= 32 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE TRUE END),
 o AS (SELECT v, count(DISTINCT coalesce(source, '')) AS owners FROM f GROUP BY v),
 k AS (SELECT doc_id, kind, s, e, owners <= {secrets.MAX_OWNERS} AS live, ['{"', '".join(secrets.KINDS)}'][kind + 1] || ':' || s || ':' || e AS span FROM f JOIN o USING (v) WHERE kind < 3 OR owners <= {secrets.MAX_OWNERS}),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples FROM k GROUP BY doc_id)

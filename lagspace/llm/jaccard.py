@@ -46,7 +46,7 @@ LEAF = 16
 SLICE = 512
 CENTRES = 32
 #: Nodes of one side of a block, where all partners in other components are sought.
-BLOCK = 4096
+BLOCK = 1024
 #: Ids are broadcast up to this count, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -255,7 +255,7 @@ def _noded(shared, words, percent):
     return run
 
 
-def _searched(nearest, percent):
+def _searched(nearest, percent, again=False):
     """Pairs of sorted rows (key, part, node, n, point[, component, side]): the points of a part of a key are one tree."""
 
     def run(batches):
@@ -266,8 +266,8 @@ def _searched(nearest, percent):
             if len(rows) < 2:
                 return
             names = [r[0] for r in rows]
-            sides = [r[4] for r in rows] if nearest is None and rows[0][4] >= 0 else None
-            found, more = candidates([r[1] for r in rows], [_unpacked(r[2]) for r in rows], [r[3] for r in rows] if nearest is None else None, nearest, percent, sides)
+            sides = [r[4] for r in rows] if again and rows[0][4] >= 0 else None
+            found, more = candidates([r[1] for r in rows], [_unpacked(r[2]) for r in rows], [r[3] for r in rows] if again else None, nearest, percent, sides)
             for i, j in found:
                 p = (names[i], names[j]) if names[i] < names[j] else (names[j], names[i])
                 if p not in known:
@@ -375,16 +375,19 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     links = _check(texts, rows, found, words, percent)
     classes = components(links)
     full = common.cut(found.where("more IS NOT NULL").select(F.col("more").alias("key")).unionByName(trees.where(F.col("size") > SLICE).select("key")).distinct())
-    if not full.isEmpty():
+    # First the nearest few partners in other components, which join the parts of a family, then all that are left.
+    for nearest in () if full.isEmpty() else (NEAREST, None):
         again = dealt.join(small(full), "key").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         which = F.xxhash64("component")
         mixed = common.cut(again.groupBy("key").agg(F.min(which).alias("a"), F.max(which).alias("b")).where("a != b").select("key"))
+        if mixed.isEmpty():
+            break
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         own, other = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.col("other")
         rest = again.join(small(mixed), "key").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         side = F.when(own == other, -1).otherwise(F.when(own < other, 0).otherwise(1)).alias("side")
         rest = rest.select("key", (F.least(own, other) * F.lit(1 << 16) + F.greatest(own, other)).alias("part"), "node", "n_shingles", "point", "component", side)
-        rest = rest.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_searched(None, percent), ddl)
+        rest = rest.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_searched(nearest, percent, True), ddl)
         links = links.unionByName(_check(texts, rows, common.cut(rest), words, percent))
         classes = components(links)
     group = firsts.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")

@@ -65,6 +65,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCHES, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Hand memory that is free again back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns (whatever their names) never clash with the operator's own."""
     bounded_batches(df.sparkSession)

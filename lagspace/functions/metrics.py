@@ -25,12 +25,15 @@ def mae(p: Column, o: Column) -> Column:
 
 
 def compared(pred: DataFrame, obs: DataFrame, keys: Sequence[str] = (), dims: int = 1) -> DataFrame:
-    """keys, t, dim, pred, obs in long form, from pred0 ... and obs0 ... frames; both must have the same times and numbers of columns."""
+    """keys, t, dim, pred, obs in long form, from pred0 ... and obs0 ... frames; both must have the same numbers of columns, and the same times: one that a side lacks fails the query when it runs."""
     p = [c for c in pred.columns if c.startswith("pred") and c[4:].isdigit()]
     o = [c for c in obs.columns if c.startswith("obs") and c[3:].isdigit()]
     if len(p) != dims or len(o) != dims:
         raise ValueError(f"Shape mismatch: {len(p)} predicted and {len(o)} observed columns, {dims} expected")
-    both = pred.join(obs, [*keys, "t"])
+    both = pred.withColumn("_p", F.lit(True)).join(obs.withColumn("_o", F.lit(True)), [*keys, "t"], "full_outer")
+    # The check stands in the rows themselves, so that no optimisation leaves it out.
+    alone = F.when(F.col("_p").isNull() | F.col("_o").isNull(), F.raise_error(F.lit("Shape mismatch: predictions and observations have different times")).cast("int"))
+    both = both.where(F.coalesce(alone, F.lit(0)) == 0).drop("_p", "_o")
     return both.select(*keys, "t", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"pred{i}").alias("pred"), F.col(f"obs{i}").alias("obs")) for i in range(dims)])).alias("c")).select(*keys, "t", "c.*")
 
 

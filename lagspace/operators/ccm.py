@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import rho
+from .arrays import ArrayFunc, by_key
 from .embedding import coordinates, lagged_embed
 from .simplex import simplex
 from .smap import smap
@@ -44,11 +45,12 @@ def draws(spark: SparkSession, lib_sizes: Sequence[int], n_samples: int, pool: S
     return spark.createDataFrame(rows, "lib_size int, sample int, slot long, idx long")
 
 
-def bootstrap(effect: DataFrame, cause: DataFrame, drawn: DataFrame, prediction_pool: DataFrame, theta: float | None = None, alpha: float = 1e-10) -> DataFrame:
+def bootstrap(effect: DataFrame, cause: DataFrame, drawn: DataFrame, prediction_pool: DataFrame, theta: float | None = None, alpha: float = 1e-10, predict: ArrayFunc | None = None) -> DataFrame:
     """lib_size, sample, rho. effect: t, x0 ... (embedded); cause: t, y0; prediction_pool: t.
 
     A point that was drawn twice is two neighbours. With theta, forecasts are by
-    S-Map, else by simplex projection. Each (size, sample) is a key of the pairs,
+    S-Map, with predict by that function of a sample's arrays, else by simplex
+    projection. Each (size, sample) is a key of the pairs,
     so samples spread over tasks.
     """
     by = ["lib_size", "sample"]
@@ -58,7 +60,9 @@ def bootstrap(effect: DataFrame, cause: DataFrame, drawn: DataFrame, prediction_
     keys = drawn.select(*by).distinct().withColumn("_all", F.lit(1))
     query = pool.withColumn("_all", F.lit(1)).join(F.broadcast(keys), "_all").drop("_all")
     coords = coordinates(effect)
-    if theta is None:
+    if predict is not None:
+        pred = by_key(predict, library, query, by, coords, ["y0"], ["truth"])
+    elif theta is None:
         pred = simplex(library, query, by, coords=coords, keep=["truth"])
     else:
         pred = smap(library, query, theta, alpha, by, coords=coords, keep=["truth"])

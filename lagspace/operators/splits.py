@@ -31,6 +31,8 @@ def temporal_fold(n: int, train_ratio: float, gap: int = 0) -> Fold:
 
 
 def _windows(n: int, train: int, validation: int, stride: int | None, gap: int, grows: bool) -> list[Fold]:
+    if n <= 0:
+        raise ValueError(f"a series of {n} positions has no folds: n must be positive")
     if train <= 0 or validation <= 0:
         raise ValueError("train and validation sizes must be positive")
     if gap < 0:

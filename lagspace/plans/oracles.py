@@ -167,7 +167,7 @@ f AS (SELECT * FROM e WHERE t >= 1 AND y0 IS NOT NULL QUALIFY count(*) OVER (PAR
     "scan_hour": f"WITH {_scan_hour()} SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, CAST(fold AS BIGINT) AS fold, {rounded('score', 'score')} FROM sc",
     "scan_user": f"WITH {scan(USERS, 'u', [1, 2], [1], '20', '10', RHO.format(p='pred', o='obs'), key='user_id')} SELECT user_id, CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, CAST(fold AS BIGINT) AS fold, {rounded('score', 'score')} FROM sc",
     "scan_expanding_rmse": f"WITH {scan(HOURS, 'h', q.E_GRID, q.TAU_GRID, '200', '100', 'sqrt(avg((pred - obs) * (pred - obs)))', grows=True)} SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, CAST(fold AS BIGINT) AS fold, {rounded('score', 'score')} FROM sc",
-    "select_hour": f"WITH {_scan_hour()}, a AS (SELECT E, tau, avg(score) AS mean, avg(score) - coalesce(stddev_samp(score) / sqrt(count(*)), 0) AS adj FROM sc GROUP BY E, tau) SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, {rounded('mean', 'mean')} FROM a ORDER BY adj DESC, E, tau LIMIT 1",
+    "select_hour": f"WITH {_scan_hour()}, a AS (SELECT E, tau, avg(score) AS mean, avg(score) - coalesce(stddev_samp(score) / sqrt(count(*)), 0) AS adj FROM sc GROUP BY E, tau) SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, {rounded('mean', 'mean')} FROM a ORDER BY round(adj, 9) DESC, E, tau LIMIT 1",
     "e_curve": f"WITH {_scan_hour(taus=[1])} SELECT CAST(E AS BIGINT) AS E, {rounded('avg(score)', 'mean')}, {rounded('avg(score) - coalesce(stddev_samp(score) / sqrt(count(*)), 0)', 'adjusted')}, count(*) AS n FROM sc GROUP BY E",
     "ccm_draws": f"WITH {_drawn()} SELECT CAST(lib_size AS BIGINT) AS lib_size, CAST(sample AS BIGINT) AS sample, CAST(slot AS BIGINT) AS slot, CAST(idx AS BIGINT) AS idx FROM dr",
     "ccm_bootstrap": f"WITH {_samples()} SELECT CAST(lib_size AS BIGINT) AS lib_size, CAST(sample AS BIGINT) AS sample, {rounded('rho', 'rho')} FROM bs",

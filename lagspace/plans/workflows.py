@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import ccm, crossval, spectral, splits
+from ..operators import arrays, ccm, crossval, spectral, splits
 from ..operators.embedding import coordinates, lagged_embed, with_target
 from ..operators.simplex import loo, simplex
 from ..operators.smap import smap
@@ -96,23 +96,6 @@ def causal_bands(series: DataFrame, effect: str, cause: str, lib_sizes: Sequence
     return found.join(floor.withColumnRenamed("rho", "floor"), "lib_size")
 
 
-def array_predictor(fn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], library: DataFrame, query: DataFrame, keys: Sequence[str], targets: Sequence[str] = ("y0",)) -> DataFrame:
-    """keys, t, pred0 ... by a function (X, Y, Q) -> predictions of one key's arrays. Each key's rows go to one task, so keys must be bounded; there must be one at least."""
-    if not keys:
-        raise ValueError("keys are needed: a key's rows meet in one task")
-    coords, types = coordinates(library), dict(library.dtypes)
-    ddl = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "t long", *[f"pred{i} double" for i in range(len(targets))]])
-    cols = [*keys, "t", *[f"pred{i}" for i in range(len(targets))]]
-
-    def kernel(lib: pd.DataFrame, qry: pd.DataFrame) -> pd.DataFrame:
-        if not len(lib) or not len(qry):
-            return pd.DataFrame({c: [] for c in cols})
-        lib = lib.sort_values("t")
-        p = np.asarray(fn(lib[coords].to_numpy(), lib[list(targets)].to_numpy(), qry[coords].to_numpy())).reshape(len(qry), -1)
-        return qry[[*keys, "t"]].assign(**{f"pred{i}": p[:, i] for i in range(len(targets))})[cols]
-
-    left, right = library.select(*keys, "t", *coords, *targets), query.select(*keys, "t", *coords)
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, ddl)
-
-
+def array_predictor(fn: arrays.ArrayFunc, library: DataFrame, query: DataFrame, keys: Sequence[str], targets: Sequence[str] = ("y0",)) -> DataFrame:
+    """keys, t, pred0 ... by a function (X, Y, Q) -> predictions of one key's arrays."""
+    return arrays.by_key(fn, library, query, keys, coordinates(library), targets)

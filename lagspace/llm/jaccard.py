@@ -81,9 +81,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set: a power of two of groups, about one for two shingles."""
-    groups = 1 << min(max(int(len(s)).bit_length() - 2, 4), 12)
-    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+    """Group counts of a set: a power of two of groups, two to four for a shingle, so that few shingles that two sets don't share fall together."""
+    groups = 1 << min(max(int(len(s)).bit_length() + 1, 4), 13)
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
 # -- the tree ----------------------------------------------------------------------
@@ -125,7 +125,7 @@ def _folded(p: np.ndarray, groups: int) -> np.ndarray:
 
 @lru_cache(maxsize=512)
 def _unpacked(point: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(point), dtype=np.uint16)
+    return np.frombuffer(zlib.decompress(point), dtype=np.uint32)
 
 
 def candidates(sizes: list[int], points: list[np.ndarray], components: list | None, nearest: int | None, percent: int = PERCENT, sides: list[int] | None = None):

@@ -81,8 +81,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set: a power of two of groups, two to four for a shingle, so that few shingles that two sets don't share fall together."""
-    groups = 1 << min(max(int(len(s)).bit_length() + 1, 4), 13)
+    """Group counts of a set: a power of two of groups, one or two for a shingle, so that few shingles that two sets don't share fall together."""
+    groups = 1 << min(max(int(len(s)).bit_length(), 4), 13)
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
@@ -125,7 +125,14 @@ def _folded(p: np.ndarray, groups: int) -> np.ndarray:
 
 @lru_cache(maxsize=512)
 def _unpacked(point: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(point), dtype=np.uint32)
+    raw = zlib.decompress(point)
+    return np.frombuffer(raw[1:], dtype=np.uint8 if raw[0] == 1 else np.uint32)
+
+
+def _packed(point: np.ndarray) -> bytes:
+    """A point as bytes: a byte a count where all fit, else four."""
+    small = int(point.max()) < 256
+    return zlib.compress(b"\1" + point.astype(np.uint8).tobytes() if small else b"\4" + point.tobytes(), 6)
 
 
 def candidates(sizes: list[int], points: list[np.ndarray], components: list | None, nearest: int | None, percent: int = PERCENT, sides: list[int] | None = None):
@@ -249,7 +256,7 @@ def _noded(shared, words, percent):
                     seen.add(node)
                 count = rarity[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 keys.append(s[np.lexsort((s, count))[: prefix_length(len(s), percent)]].astype(np.int64))
-                points.append(zlib.compress(point(s).tobytes(), 1))
+                points.append(_packed(point(s)))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "point", "keys"])
 
     return run

@@ -38,9 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
+#: Rows of a file of slim rows, and of rows that carry sets or points.
+SLIM, WIDE = 100_000, 5_000
+
+
+def cut(df: DataFrame, rows: int | None = None, per: int = SLIM) -> DataFrame:
+    """Materialise df in the shared folder: lineage ends here, and a lost executor costs no recomputation.
+
+    rows: a bound of df's rows, where one is known. Then df has no more files (and tasks that
+    write them) than one for each ``per`` rows, however many partitions a shuffle left.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per)))
     return df.checkpoint(eager=True)
 
 

@@ -335,9 +335,54 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _contracted(batches):
+    """Edges (u, v), by up to ``common.SLIM`` at a time, as stars: each node and the least node that these edges join it to."""
+    root: dict[bytes, bytes] = {}
+    taken = 0
+
+    def find(x):
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def stars():
+        found = [(x, find(x)) for x in root]
+        found = [(x, r) for x, r in found if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([r for _, r in found], pa.binary())], names=["u", "v"])
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            x, y = find(u), find(v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        taken += b.num_rows
+        if taken >= common.SLIM:
+            yield stars()
+            root.clear()
+            taken = 0
+    yield stars()
+
+
+def _known_by(edges: DataFrame):
+    """A count and two sums that tell sets of edges apart."""
+    return edges.agg(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64("u", "v", F.lit(k))) for k in (0, 1)]).first()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node reached) of the nodes of links (a, b), by alternating large and small stars."""
-    edges = common.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    """node, component (the least node reached) of the nodes of links (a, b).
+
+    Each task first joins what its own links join; alternating large and small stars
+    do the rest, until nothing changes.
+    """
+    rows = links.count()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+    edges = common.cut(edges.coalesce(max(1, -(-rows // common.SLIM))).mapInArrow(_contracted, "u binary, v binary").distinct(), rows)
+    before = _known_by(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -345,10 +390,11 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = common.cut(star.where("u != v").distinct())
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-        edges = after
+        edges = common.cut(star.where("u != v").distinct(), rows)
+        after = _known_by(edges)
+        if after == before:
+            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        before = after
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -365,14 +411,16 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     rows = common.cut(texts.mapInArrow(_noded(shared, words, percent), "doc_id long, n_shingles long, node binary, point binary, keys array<bigint>"))
     shared.unpersist()
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = common.cut(rows.where("point IS NOT NULL").select("node", "n_shingles", "point", "keys").dropDuplicates(["node"]))
+    own = rows.where("point IS NOT NULL").select("node", "n_shingles", "point", "keys")
+    nodes = common.cut(own.dropDuplicates(["node"]), own.count(), common.WIDE)
     keyed = nodes.select("node", "n_shingles", "point", F.explode("keys").alias("key"))
     # A tree is known by its size and two sums of its nodes' hashes, made on the map side first; its nodes are never gathered in a row.
     sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
     trees = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
     # Near copies share most of their keys: of trees with the same nodes, one is enough.
     trees = common.cut(trees.groupBy("size", "h0", "h1").agg(F.min("key").alias("key")).select("key", "size"))
-    dealt = common.cut(keyed.join(small(trees), "key").select("key", "node", "n_shingles", "point", "size"))
+    dealt = keyed.join(small(trees), "key").select("key", "node", "n_shingles", "point", "size")
+    dealt = common.cut(dealt, trees.agg(F.sum("size")).first()[0] or 0, common.WIDE)
     ddl = "a binary, b binary, more long"
     parts = F.ceil(F.col("size") / SLICE).cast("int")
     centre = F.pmod(F.xxhash64("node", F.lit("centre")), F.col("size")) < CENTRES
@@ -421,11 +469,14 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def _check(texts: DataFrame, rows: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
     """The candidate pairs that are links, by their whole sets. Only the texts of candidates are read again."""
-    pairs = common.cut(found.where("a IS NOT NULL").select("a", "b").distinct())
+    pairs = found.where("a IS NOT NULL").select("a", "b")
+    n = pairs.count()
+    pairs = common.cut(pairs.distinct(), n)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = common.cut(rows.where("point IS NOT NULL").select("doc_id", "node", "n_shingles").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"))
+    holders = rows.where("point IS NOT NULL").select("doc_id", "node", "n_shingles").join(nodes, "node", "left_semi")
+    holders = common.cut(holders.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"), 2 * n)
     sets = texts.join(small(holders), "doc_id").select("node", "text").mapInArrow(_sets(words), "node binary, set binary")
-    sets = common.cut(sets.dropDuplicates(["node"]))
+    sets = common.cut(sets.dropDuplicates(["node"]), 2 * n, common.WIDE)
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").select("b", "a", "x")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return common.cut(two.mapInArrow(_verified(percent), "a binary, b binary"))
+    return common.cut(two.mapInArrow(_verified(percent), "a binary, b binary"), n, common.WIDE)

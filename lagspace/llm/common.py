@@ -88,6 +88,17 @@ def give_back() -> None:
         pass
 
 
+def lean(run):
+    """A function of batches that hands free memory back before and after it: workers serve one stage after another and would keep the most that any of them took."""
+
+    def between(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return between
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns (whatever their names) never clash with the operator's own."""
     bounded_batches(df.sparkSession)

@@ -194,16 +194,19 @@ def _sketched(words):
 
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         some: list[np.ndarray] = []
+        held = [0]
 
         def add():
-            at = (np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            np.add(counts, np.bincount(at, minlength=len(counts)).astype(np.uint32), out=counts)
+            at, n = np.unique((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+            counts[at] += n.astype(np.uint32)
             some.clear()
+            held[0] = 0
 
         for b in batches:
             for t in common.as_bytes(b.column(0)):
                 some.append(jaccard.shingles(t, words))
-                if sum(map(len, some[-64:])) > 400_000 or len(some) >= 2000:
+                held[0] += len(some[-1])
+                if held[0] > 400_000 or len(some) >= 2000:
                     add()
         if some:
             add()
@@ -224,7 +227,7 @@ def _summed(batches):
 
 def sketch(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     """How often shingles fall into each hash bucket, over all texts; 8 MB whatever the corpus."""
-    rows = texts.select("text").mapInArrow(_sketched(words), "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(_summed, "piece int, counts binary").collect()
+    rows = texts.select("text").mapInArrow(common.lean(_sketched(words)), "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(_summed, "piece int, counts binary").collect()
     out = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), dtype=np.uint16)
     for r in rows:
         out[r.piece] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint16)
@@ -408,7 +411,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     spark = docs.sparkSession
     texts = common.pick(docs, "doc_id", "text")
     shared = spark.sparkContext.broadcast(sketch(texts, words))
-    rows = common.cut(texts.mapInArrow(_noded(shared, words, percent), "doc_id long, n_shingles long, node binary, point binary, keys array<bigint>"))
+    rows = common.cut(texts.mapInArrow(common.lean(_noded(shared, words, percent)), "doc_id long, n_shingles long, node binary, point binary, keys array<bigint>"))
     shared.unpersist()
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     own = rows.where("point IS NOT NULL").select("node", "n_shingles", "point", "keys")

@@ -147,7 +147,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     if capacity < 1:
         raise ValueError("capacity must be positive")
     rows = common.pick(docs, "doc_id", "text")
-    placed = common.cut(rows.mapInArrow(_packed(path or common.tokenizer_path(), capacity, end_id), DDL + ", left boolean"))
+    placed = common.cut(rows.mapInArrow(common.lean(_packed(path or common.tokenizer_path(), capacity, end_id)), DDL + ", left boolean"))
     streams = max(1, -(-placed.rdd.getNumPartitions() // TASKS))
     again = placed.where("left").drop("left").repartition(streams).mapInArrow(_packed_again(capacity), DDL)
     return placed.where("NOT left").drop("left").unionByName(again)

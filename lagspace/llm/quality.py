@@ -226,7 +226,7 @@ def _kept(model, threshold):
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted of every row. A null text is empty; without a model every score is 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return common.pick(docs, "doc_id", "text").mapInArrow(_scores(shared, threshold), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return common.pick(docs, "doc_id", "text").mapInArrow(common.lean(_scores(shared, threshold)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,7 +236,7 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     empty table stays empty. Without a positive row to learn from, all stay.
     """
     model = fit(docs, labels)
-    return docs if model is None else docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
+    return docs if model is None else docs.mapInArrow(common.lean(_kept(docs.sparkSession.sparkContext.broadcast(model), threshold)), docs.schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

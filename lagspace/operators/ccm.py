@@ -99,9 +99,9 @@ def with_smap(series: DataFrame, effect: str, cause: str, lib_sizes: Sequence[in
     return ccm(run(series, effect, cause, lib_sizes, library_pool, prediction_pool, e, tau, n_samples, theta, alpha, sample), aggregate)
 
 
-def shuffled(series: DataFrame, column: str, n: int, seed: int = 0) -> DataFrame:
-    """The series with one column's values permuted over the positions 0 ... n - 1: the noise floor."""
-    order = np.random.default_rng(seed).permutation(n).tolist()
+def shuffled(series: DataFrame, column: str, n: int, seed: int = 0, order: Sequence[int] | None = None) -> DataFrame:
+    """The series with one column's values permuted over the positions 0 ... n - 1 (by order if given): the noise floor."""
+    order = np.random.default_rng(seed).permutation(n).tolist() if order is None else order
     moves = series.sparkSession.createDataFrame(list(enumerate(order)), "t long, _from long")
     values = series.select(F.col("t").alias("_from"), F.col(column).alias("_v"))
     return series.join(moves, "t").join(values, "_from").drop(column, "_from").withColumnRenamed("_v", column)

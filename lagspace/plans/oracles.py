@@ -19,14 +19,15 @@ def rounded(e: str, name: str) -> str:
     return f"round({e}, 6) + 0.0 AS {name}"
 
 
-def halves(base: str, source: str, keys: str = "", targets: int = 1) -> str:
-    """lib and qry: E = 2 embeddings with the next values as targets."""
+def halves(base: str, source: str, keys: str = "", targets: int = 1, dims: int = 2) -> str:
+    """lib and qry: embeddings with the next values as targets."""
     over = f"OVER ({f'PARTITION BY {keys} ' if keys else ''}ORDER BY t)"
     k = f"{keys}, " if keys else ""
+    lags = ", ".join(f"lag(x, {i}) {over} AS x{i}" for i in range(1, dims))
     leads = ", ".join(f"lead(x, {i + 1}) {over} AS y{i}" for i in range(targets))
     return f"""{base},
-e AS (SELECT {k}t, n, x AS x0, lag(x, 1) {over} AS x1, {leads} FROM {source}),
-f AS (SELECT * FROM e WHERE t >= 1 AND y{targets - 1} IS NOT NULL),
+e AS (SELECT {k}t, n, x AS x0, {lags}, {leads} FROM {source}),
+f AS (SELECT * FROM e WHERE t >= {dims - 1} AND y{targets - 1} IS NOT NULL),
 lib AS (SELECT * FROM f WHERE t < floor(n * 0.5)),
 qry AS (SELECT * FROM f WHERE t >= floor(n * 0.5))"""
 
@@ -61,7 +62,7 @@ def local(theta: str, coords: int, keys: Sequence[str] = (), keep: Sequence[str]
     def det(r):
         if len(r) == 2:
             return f"({r[0][0]} * {r[1][1]} - {r[0][1]} * {r[1][0]})"
-        return f"({r[0][0]} * ({r[1][1]} * {r[2][2]} - {r[1][2]} * {r[2][1]}) - {r[0][1]} * ({r[1][0]} * {r[2][2]} - {r[1][2]} * {r[2][0]}) + {r[0][2]} * ({r[1][0]} * {r[2][1]} - {r[1][1]} * {r[2][0]}))"
+        return "(" + " ".join(f"{'-' if c % 2 else '+'} {r[0][c]} * {det([row[:c] + row[c + 1 :] for row in r[1:]])}" for c in range(len(r))) + ")"
 
     cs = [f"{det([[f'v{i}' if j == c else full[i][j] for j in range(n)] for i in range(n)])} / {det(full)}" for c in range(n)]
     pred = " + ".join([cs[0], *[f"({cs[c]}) * qx{c - 1}" for c in range(1, n)]])
@@ -72,7 +73,7 @@ rg AS (SELECT *, {alpha} * greatest({" + ".join(m(i, i) for i in range(n))}, 1e-
 p AS (SELECT {ks}qt AS t{extra and ', theta'}{"".join(f", {c}" for c in keep)}, {pred} AS pred0 FROM rg)"""
 
 
-def scan(base: str, source: str, es: Sequence[int], taus: Sequence[int], train: str, val: str, metric: str, grows: bool = False, key: str = "") -> str:
+def scan(base: str, source: str, es: Sequence[int], taus: Sequence[int], train: str, val: str, metric: str, grows: bool = False, key: str = "", target: str = "x") -> str:
     """sc: scores of a grid. train and val: sizes, as expressions of n."""
     deep = (max(es) - 1) * max(taus)
     k = f"{key}, " if key else ""
@@ -81,7 +82,7 @@ def scan(base: str, source: str, es: Sequence[int], taus: Sequence[int], train:
     begin = "0" if grows else "vs - tr"
     sq = " + ".join(f"CASE WHEN E > {j} THEN (ql[{j} * tau + 1] - ll[{j} * tau + 1]) * (ql[{j} * tau + 1] - ll[{j} * tau + 1]) ELSE 0.0 END" for j in range(max(es)))
     return f"""{base},
-lg AS (SELECT {k}t, n, x AS y, [{lags}] AS l FROM {source}),
+lg AS (SELECT {k}t, n, {target} AS y, [{lags}] AS l FROM {source}),
 g0 AS (SELECT n, E, tau, (E - 1) * {max(taus)} AS ml, {train} AS tr, {val} AS va FROM (SELECT DISTINCT n FROM {source}), (VALUES {", ".join(f"({e})" for e in es)}) a(E), (VALUES {", ".join(f"({x})" for x in taus)}) b(tau)),
 g AS (SELECT *, tr + fold * va AS vs FROM (SELECT *, unnest(generate_series(0, n)) AS fold FROM g0 WHERE n - ml >= 2 AND tr >= E + 1) WHERE tr + fold * va + va <= n - ml),
 li AS (SELECT {k}E, tau, fold, t AS lt, y, l AS ll FROM lg JOIN g USING (n) WHERE t - ml >= {begin} AND t - ml < vs),
@@ -97,10 +98,10 @@ def _scan_hour(es=q.E_GRID, taus=q.TAU_GRID) -> str:
     return scan(HOURS, "h", es, taus, "greatest(n // 5, 2)", "greatest(n // 10, 1)", RHO.format(p="pred", o="obs"))
 
 
-def _drawn(pool=range(1, q.PRED)) -> str:
+def _drawn() -> str:
     import numpy as np
 
-    sample, members, rows = ccm.sampler(q.SEED), np.asarray(list(pool)), []
+    sample, members, rows = ccm.sampler(q.SEED), np.asarray(list(q.POOL)), []
     for size in q.LIB_SIZES:
         for k in range(q.N_SAMPLES):
             rows += [f"({size},{k},{i},{int(v)})" for i, v in enumerate(sample(members, size))]
@@ -108,15 +109,18 @@ def _drawn(pool=range(1, q.PRED)) -> str:
 
 
 def _samples(effect: str = "y", cause: str = "x", smap: bool = False, permuted: bool = False) -> str:
-    top = 2 * q.PRED
-    src = f"s1 AS (SELECT * FROM s WHERE t < {top})"
+    """bs: rho of every sample of the whole series; members are drawn by arithmetic on the slot."""
+    src = "s1 AS (SELECT * FROM s)"
     if permuted:
-        src = f"s0 AS (SELECT * FROM s WHERE t < {top}), s1 AS (SELECT a.t, a.{effect}, b.{cause} FROM s0 a JOIN s0 b ON a.t = (b.t * 7919 + 13) % {top})"
-    head = f"""{DAYS}, {src}, {_drawn()},
+        src = f"s1 AS (SELECT a.t, a.{effect}, b.{cause} FROM s a CROSS JOIN m JOIN s b ON b.t = (a.t * {q.PRIME} + 13) % m.n)"
+    head = f"""{DAYS}, m AS (SELECT count(*) AS n, count(*) // 2 - 1 AS p FROM s), {src},
+z AS (SELECT p, j, greatest(p >> CAST(3 - j AS INTEGER), 1) AS lib_size, k AS sample FROM m, range(4) a(j), range({q.N_SAMPLES}) b(k)),
+dw AS (SELECT *, unnest(range(lib_size)) AS slot FROM z),
+dr AS (SELECT lib_size, sample, slot, 1 + ((slot * slot * 7919 + slot * 31 + (j * {q.N_SAMPLES} + sample) * 104729) % {q.PRIME}) % p AS idx FROM dw),
 e AS (SELECT t, {effect} AS x0, lag({effect}) OVER (ORDER BY t) AS x1, {cause} AS y0 FROM s1),
 f AS (SELECT * FROM e WHERE t >= 1),
 lib AS (SELECT lib_size, sample, slot, f.* FROM dr JOIN f ON idx = t),
-qry AS (SELECT k.*, f.t, x0, x1, y0 AS truth FROM f, (SELECT DISTINCT lib_size, sample FROM dr) k WHERE t >= {q.PRED} AND t < {top})"""
+qry AS (SELECT z.lib_size, z.sample, f.t, x0, x1, y0 AS truth FROM f, m, z WHERE t >= m.n // 2)"""
     by = ("lib_size", "sample")
     body = local("2.0", 2, by, ["truth"]) if smap else near(3, by, keep=["truth"])
     return f"""{head}, {paired(by, keep=", q.truth", slot="l.slot")}, {body},
@@ -134,6 +138,7 @@ def _folds(body: str) -> str:
     return f"WITH {HOURS}, m AS (SELECT CAST(count(*) AS BIGINT) AS n FROM h) {body}"
 
 
+AHEAD = f"{HOURS}, ah AS (SELECT t, n - 1 AS n, x, lead(x) OVER (ORDER BY t) AS y0 FROM h QUALIFY y0 IS NOT NULL)"
 _D2 = "list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))))"
 _UK = ("user_id",)
 _PENDULUM = """w AS (SELECT 0 AS t, 1.0::DOUBLE AS a, 0.5::DOUBLE AS b, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v UNION ALL
@@ -153,9 +158,17 @@ ORACLES: dict[str, str] = {
     "simplex_masked": f"WITH {halves(USERS, 'u', 'user_id')}, {paired(_UK, where='l.t % 3 <> 0')}, {near(3, _UK)} SELECT user_id, t, {rounded('pred0', 'pred')} FROM p",
     "loo_user": f"""WITH {USERS}, e AS (SELECT user_id, t, x AS x0, lag(x) OVER w AS x1, lead(x) OVER w AS y0 FROM u WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 f AS (SELECT * FROM e WHERE t >= 1 AND y0 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY user_id) >= 6), {paired(_UK, lib='f', qry='f', where='abs(q.t - l.t) > 1')}, {near(3, _UK)} SELECT user_id, t, {rounded('pred0', 'pred')} FROM p""",
+    "loo_hour": f"""WITH {HOURS}, e AS (SELECT t, x AS x0, lag(x) OVER w AS x1, lead(x) OVER w AS y0 FROM h WINDOW w AS (ORDER BY t)),
+f AS (SELECT * FROM e WHERE t >= 1 AND y0 IS NOT NULL), {paired(lib='f', qry='f', where='abs(q.t - l.t) > 1')}, {near(3)} SELECT t, {rounded('pred0', 'pred')} FROM p""",
+    "loo_diagnostic_user": f"""WITH {USERS}, e AS (SELECT user_id, t, x AS x0, lag(x) OVER w AS x1, lead(x) OVER w AS y0 FROM u WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+f AS (SELECT * FROM e WHERE t >= 1 AND y0 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY user_id) >= 6), {paired(_UK, lib='f', qry='f', where='abs(q.t - l.t) > 1', keep=', q.y0 AS truth')}, {near(3, _UK, keep=['truth'])} SELECT user_id, {rounded(RHO.format(p='pred0', o='truth'), 'rho')} FROM p GROUP BY user_id""",
     "smap_linear_hour": f"WITH {halves(HOURS, 'h')}, {paired(coords=1)}, {local('0.0', 1)} SELECT t, {rounded('pred0', 'pred')} FROM p",
     "smap_local_e1": f"WITH {halves(HOURS, 'h')}, {paired(coords=1)}, {local('2.0', 1)} SELECT t, {rounded('pred0', 'pred')} FROM p",
     "smap_local_e2": f"WITH {halves(HOURS, 'h')}, {paired()}, {local('2.0', 2)} SELECT t, {rounded('pred0', 'pred')} FROM p",
+    "smap_local_e3": f"WITH {halves(HOURS, 'h', dims=3)}, {paired(coords=3)}, {local('2.0', 3)} SELECT t, {rounded('pred0', 'pred')} FROM p",
+    "nonlinearity_hour": f"""WITH {HOURS}, e AS (SELECT t, n, x AS x0, lag(x) OVER w AS x1, lead(x) OVER w AS y0 FROM h WINDOW w AS (ORDER BY t)),
+f AS (SELECT * FROM e WHERE t >= 1 AND y0 IS NOT NULL), lib AS (SELECT * FROM f WHERE t < floor(n * 0.7::DOUBLE) - 1), qry AS (SELECT * FROM f WHERE t >= floor(n * 0.7::DOUBLE)),
+{paired(keep=', q.y0 AS truth')}, {local('theta', 2, keep=['truth'], extra=', (VALUES ' + ', '.join(f'({v}::DOUBLE)' for v in q.THETAS) + ') th(theta)')} SELECT theta, {rounded(RHO.format(p='pred0', o='truth'), 'rho')} FROM p GROUP BY theta""",
     "smap_theta_sweep": f"WITH {halves(HOURS, 'h')}, {paired(coords=1, keep=', q.y0 AS truth')}, {local('theta', 1, keep=['truth'], extra=', (VALUES ' + ', '.join(f'({v}::DOUBLE)' for v in q.THETAS) + ') th(theta)')} SELECT theta, {rounded(RHO.format(p='pred0', o='truth'), 'rho')} FROM p GROUP BY theta",
     "metric_rhos": _metric(f"SELECT user_id, CAST(dim AS BIGINT) AS dim, {rounded('rho', 'rho')} FROM rh"),
     "metric_mean_rho": _metric(f"SELECT user_id, {rounded('avg(rho)', 'mean_rho')} FROM rh GROUP BY user_id"),
@@ -169,6 +182,8 @@ f AS (SELECT * FROM e WHERE t >= 1 AND y0 IS NOT NULL QUALIFY count(*) OVER (PAR
     "scan_expanding_rmse": f"WITH {scan(HOURS, 'h', q.E_GRID, q.TAU_GRID, '200', '100', 'sqrt(avg((pred - obs) * (pred - obs)))', grows=True)} SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, CAST(fold AS BIGINT) AS fold, {rounded('score', 'score')} FROM sc",
     "select_hour": f"WITH {_scan_hour()}, a AS (SELECT E, tau, avg(score) AS mean, avg(score) - coalesce(stddev_samp(score) / sqrt(count(*)), 0) AS adj FROM sc GROUP BY E, tau) SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, {rounded('mean', 'mean')} FROM a ORDER BY round(adj, 9) DESC, E, tau LIMIT 1",
     "e_curve": f"WITH {_scan_hour(taus=[1])} SELECT CAST(E AS BIGINT) AS E, {rounded('avg(score)', 'mean')}, {rounded('avg(score) - coalesce(stddev_samp(score) / sqrt(count(*)), 0)', 'adjusted')}, count(*) AS n FROM sc GROUP BY E",
+    "dimension_curve_hour": f"WITH {scan(AHEAD, 'ah', q.E_GRID, [1], 'greatest(n // 5, 2)', 'greatest(n // 10, 1)', RHO.format(p='pred', o='obs'), target='y0')} SELECT CAST(E AS BIGINT) AS E, {rounded('avg(score)', 'mean')}, {rounded('avg(score) - coalesce(stddev_samp(score) / sqrt(count(*)), 0)', 'adjusted')} FROM sc GROUP BY E",
+    "expanding_errors_hour": f"WITH {scan(AHEAD, 'ah', q.E_GRID, q.TAU_GRID, '200', '100', 'sqrt(avg((pred - obs) * (pred - obs)))', grows=True, target='y0')} SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, {rounded('avg(score)', 'mean')} FROM sc GROUP BY E, tau",
     "ccm_draws": f"WITH {_drawn()} SELECT CAST(lib_size AS BIGINT) AS lib_size, CAST(sample AS BIGINT) AS sample, CAST(slot AS BIGINT) AS slot, CAST(idx AS BIGINT) AS idx FROM dr",
     "ccm_bootstrap": f"WITH {_samples()} SELECT CAST(lib_size AS BIGINT) AS lib_size, CAST(sample AS BIGINT) AS sample, {rounded('rho', 'rho')} FROM bs",
     "ccm_mean": f"WITH {_samples()} SELECT CAST(lib_size AS BIGINT) AS lib_size, {rounded('avg(rho)', 'rho')} FROM bs GROUP BY lib_size",
@@ -180,7 +195,7 @@ f AS (SELECT * FROM e WHERE t >= 1 AND y0 IS NOT NULL QUALIFY count(*) OVER (PAR
     "acf_user": f"WITH {USERS}, c AS (SELECT user_id, t, x - avg(x) OVER w AS c, n, var_pop(x) OVER w AS v FROM u WINDOW w AS (PARTITION BY user_id)) SELECT a.user_id, b.t - a.t AS lag, {rounded('sum(a.c * b.c) / any_value(a.n * a.v)', 'acf')} FROM c a JOIN c b ON a.user_id = b.user_id AND b.t - a.t BETWEEN 0 AND 9 AND (b.t - a.t) % 2 = 0 GROUP BY 1, 2",
     "tau_first_below": f"WITH {USERS}, c AS (SELECT user_id, t, x - avg(x) OVER w AS c, n, var_pop(x) OVER w AS v FROM u WINDOW w AS (PARTITION BY user_id)), f AS (SELECT a.user_id, b.t - a.t AS lag, sum(a.c * b.c) / any_value(a.n * a.v) AS acf FROM c a JOIN c b ON a.user_id = b.user_id AND b.t - a.t BETWEEN 0 AND 19 GROUP BY 1, 2) SELECT user_id, CAST(coalesce(min(CASE WHEN acf < exp(-1) THEN lag END), 0) AS BIGINT) AS tau FROM f GROUP BY user_id",
     "pairwise_vectors": f"SELECT a.vec_id AS id_a, b.vec_id AS id_b, {rounded(_D2, 'd2')} FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0",
-    "pairwise_self": f"SELECT a.vec_id AS id_a, b.vec_id AS id_b, {rounded(_D2, 'd2')} FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id % 50 = 0",
+    "pairwise_self": f"SELECT a.vec_id AS id_a, b.vec_id AS id_b, {rounded(_D2, 'd2')} FROM embeddings a CROSS JOIN embeddings b",
     "dtw_users": f"""WITH RECURSIVE {USERS}, g AS (SELECT user_id, list(x ORDER BY t) AS a FROM u GROUP BY user_id),
 z AS (SELECT x.user_id, x.a, y.a AS b FROM g x JOIN g y ON y.user_id = x.user_id + 1),
 r AS (SELECT user_id, 0 AS i, list_prepend(0.0::DOUBLE, list_transform(b, lambda e: 'inf'::DOUBLE)) AS v FROM z UNION ALL

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import count
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +15,12 @@ from ..operators.simplex import loo, simplex
 from ..operators.smap import smap
 from ..sources import generate
 from ..sources.series import aggregated, from_table, read
+from . import workflows
 
 U = ("user_id",)
 HALF = 0.5
 THETAS = [0.0, 0.1, 0.3, 1.0, 2.0, 4.0, 8.0]
-LIB_SIZES, N_SAMPLES, SEED, PRED = [10, 20, 40, 80], 10, 42, 200
+LIB_SIZES, N_SAMPLES, SEED, POOL, PRIME = [10, 20, 40, 80], 10, 42, range(1, 200), 1_000_003
 E_GRID, TAU_GRID = [1, 2, 3], [1, 2]
 
 
@@ -53,11 +57,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
-def _halves(series: DataFrame, keys=()) -> tuple[DataFrame, DataFrame]:
-    """E = 2 embedding with the next value as target: the first half of each series is the library, the rest the queries."""
+def _halves(series: DataFrame, keys=(), e: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Embedding of e lags with the next value as target: the first half of each series is the library, the rest the queries."""
     s = with_target(series, 1, keys)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    emb = lagged_embed(s.withColumn("n", n), 1, 2, keys, keep=["y0", "n"])
+    emb = lagged_embed(s.withColumn("n", n), 1, e, keys, keep=["y0", "n"])
     first = F.col("t") < F.floor(F.col("n") * HALF)
     return emb.where(first & F.col("y0").isNotNull()).drop("n"), emb.where(~first & F.col("y0").isNotNull()).drop("n").withColumnRenamed("y0", "truth")
 
@@ -116,6 +120,15 @@ def loo_user(spark, d):
     return loo(e, 1, U).select("user_id", "t", _r("pred0").alias("pred"))
 
 
+def loo_hour(spark, d):
+    e = lagged_embed(with_target(hours(spark, d), 1), 1, 2, keep=["y0"]).where("y0 IS NOT NULL")
+    return loo(e, 1).select("t", _r("pred0").alias("pred"))
+
+
+def loo_diagnostic_user(spark, d):
+    return workflows.loo_diagnostic(users(spark, d), 2, 1, keys=U).select("user_id", _r("rho").alias("rho"))
+
+
 # -- S-Map -------------------------------------------------------------------------
 
 
@@ -134,6 +147,15 @@ def smap_local_e2(spark, d):
     return smap(lib, qry, 2.0).select("t", _r("pred0").alias("pred"))
 
 
+def smap_local_e3(spark, d):
+    lib, qry = _halves(hours(spark, d), e=3)
+    return smap(lib, qry, 2.0).select("t", _r("pred0").alias("pred"))
+
+
+def nonlinearity_hour(spark, d):
+    return workflows.nonlinearity(hours(spark, d), 2, 1, THETAS).select("theta", _r("rho").alias("rho"))
+
+
 def smap_theta_sweep(spark, d):
     lib, qry = _halves(hours(spark, d))
     p = smap(lib.drop("x1"), qry.drop("x1"), THETAS, keep=["truth"])
@@ -216,91 +238,75 @@ def e_curve(spark, d):
     return s.select(F.col("E").cast("long").alias("E"), _r("mean").alias("mean"), _r("adjusted").alias("adjusted"), "n")
 
 
-# -- causality ---------------------------------------------------------------------
+def dimension_curve_hour(spark, d):
+    c = workflows.dimension_curve(hours(spark, d), E_GRID)
+    return c.select(F.col("E").cast("long").alias("E"), _r("mean").alias("mean"), _r("adjusted").alias("adjusted"))
 
 
-def _draws(spark, pool=range(200)):
-    return ccm.draws(spark, LIB_SIZES, N_SAMPLES, list(pool), ccm.sampler(SEED))
+def expanding_errors_hour(spark, d):
+    c = workflows.expanding_errors(hours(spark, d), E_GRID, TAU_GRID, 200, 100)
+    return c.select(F.col("E").cast("long").alias("E"), F.col("tau").cast("long").alias("tau"), _r("mean").alias("mean"))
 
 
-def _samples(spark, d, effect="y", cause="x", theta=None, permuted=False):
-    s = both_days(spark, d).where(F.col("t") < 2 * PRED)
-    if permuted:
-        s = s.withColumn("_k", F.pmod(F.col("t") * 7919 + 13, F.lit(2 * PRED)))
-        s = s.drop(cause).join(s.select(F.col("_k").alias("t"), F.col(cause)), "t").drop("_k")
-    emb = lagged_embed(s, 1, 2, x=effect)
-    pool = spark.range(PRED, 2 * PRED).select(F.col("id").alias("t"))
-    return ccm.bootstrap(emb, s.select("t", F.col(cause).alias("y0")), _draws(spark, range(1, PRED)), pool, theta)
+# -- causality ---------------------------------------------------------------------
 
 
 def ccm_draws(spark, d):
-    out = _draws(spark, range(1, PRED))
+    out = ccm.draws(spark, LIB_SIZES, N_SAMPLES, list(POOL), ccm.sampler(SEED))
     return out.select(F.col("lib_size").cast("long").alias("lib_size"), F.col("sample").cast("long").alias("sample"), "slot", "idx")
 
 
+def spread() -> ccm.Sampler:
+    """Draws with replacement by whole-number arithmetic that SQL can repeat; each call has its own."""
+    calls = count()
+
+    def sample(pool: np.ndarray, size: int) -> np.ndarray:
+        i, c = np.arange(size), next(calls)
+        return pool[(i * i * 7919 + i * 31 + c * 104729) % PRIME % len(pool)]
+
+    return sample
+
+
+def _cross(n: int) -> dict:
+    """Arguments of a cross mapping over the whole of n days: the first half is the library pool, the rest is predicted; sizes double up to the pool."""
+    pool = range(1, n // 2)
+    return {"lib_sizes": sorted({max(len(pool) >> k, 1) for k in range(4)}), "library_pool": pool, "prediction_pool": range(n // 2, n), "e": 2, "n_samples": N_SAMPLES, "sample": spread()}
+
+
 def _out(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) if c in ("lib_size", "sample") else _r(c).alias(c) for c in df.columns])
 
 
 def ccm_bootstrap(spark, d):
-    return _out(_samples(spark, d))
+    s = both_days(spark, d)
+    return _out(ccm.run(s, "y", "x", **_cross(s.count())))
 
 
 def ccm_mean(spark, d):
-    return _out(ccm.ccm(_samples(spark, d)))
+    s = both_days(spark, d)
+    return _out(ccm.with_simplex(s, "y", "x", **_cross(s.count())))
 
 
 def ccm_reverse(spark, d):
-    return _out(ccm.ccm(_samples(spark, d, "x", "y")))
+    s = both_days(spark, d)
+    return _out(ccm.with_simplex(s, "x", "y", **_cross(s.count())))
 
 
 def ccm_bands(spark, d):
-    return _out(ccm.bands(_samples(spark, d)))
+    s = both_days(spark, d)
+    return _out(ccm.bands(ccm.run(s, "y", "x", **_cross(s.count()))))
 
 
 def ccm_smap(spark, d):
-    return _out(ccm.ccm(_samples(spark, d, theta=2.0)))
+    s = both_days(spark, d)
+    return _out(ccm.with_smap(s, "y", "x", theta=2.0, **_cross(s.count())))
 
 
 def ccm_surrogate(spark, d):
-    return _out(ccm.ccm(_samples(spark, d, permuted=True), F.median))
-
-
-def _whole(spark, d, effect="y", cause="x", theta=None, permuted=False):
-    """Samples of the whole series: its first half is the library pool, the rest is predicted, and library sizes go up to the pool."""
     s = both_days(spark, d)
     n = s.count()
-    if permuted:
-        s = ccm.shuffled(s, cause, n, SEED)
-    pool = range(1, n // 2)
-    sizes = ccm.library_sizes(max(len(pool), 1), max(min(LIB_SIZES[0], len(pool)), 1), len(LIB_SIZES))[:-1]
-    drawn = ccm.draws(spark, sorted({*sizes, len(pool)}), N_SAMPLES, pool, ccm.sampler(SEED))
-    predicted = spark.range(n // 2, n).select(F.col("id").alias("t"))
-    return ccm.bootstrap(lagged_embed(s, 1, 2, x=effect), s.select("t", F.col(cause).alias("y0")), drawn, predicted, theta)
-
-
-def ccm_bootstrap_whole(spark, d):
-    return _out(_whole(spark, d))
-
-
-def ccm_mean_whole(spark, d):
-    return _out(ccm.ccm(_whole(spark, d)))
-
-
-def ccm_reverse_whole(spark, d):
-    return _out(ccm.ccm(_whole(spark, d, "x", "y")))
-
-
-def ccm_bands_whole(spark, d):
-    return _out(ccm.bands(_whole(spark, d)))
-
-
-def ccm_smap_whole(spark, d):
-    return _out(ccm.ccm(_whole(spark, d, theta=2.0)))
-
-
-def ccm_surrogate_whole(spark, d):
-    return _out(ccm.ccm(_whole(spark, d, permuted=True), F.median))
+    mixed = ccm.shuffled(s, "x", n, order=[(t * PRIME + 13) % n for t in range(n)])
+    return _out(ccm.with_simplex(mixed, "y", "x", aggregate=F.median, **_cross(n)))
 
 
 # -- distances and spectra ---------------------------------------------------------
@@ -324,12 +330,6 @@ def pairwise_vectors(spark, d):
 
 
 def pairwise_self(spark, d):
-    v = vectors(spark, d)
-    few = v.where("id % 50 = 0")
-    return distance.pairwise_distance(few).select("id_a", "id_b", _r("d2").alias("d2"))
-
-
-def pairwise_self_whole(spark, d):
     """All pairs of the whole table."""
     return distance.pairwise_distance(vectors(spark, d)).select("id_a", "id_b", _r("d2").alias("d2"))
 

@@ -6,6 +6,3 @@ from . import oracles, queries
 
 QUERIES = {name: getattr(queries, name) for name in oracles.ORACLES}
 ORACLES = oracles.ORACLES
-
-#: Queries of whole tables whose registered namesakes are held to a part by their SQL. They have none; tests compare them with brute force.
-WHOLE = {f.__name__: f for f in (queries.ccm_bootstrap_whole, queries.ccm_mean_whole, queries.ccm_reverse_whole, queries.ccm_bands_whole, queries.ccm_smap_whole, queries.ccm_surrogate_whole, queries.pairwise_self_whole)}

@@ -1,4 +1,4 @@
-"""Queries of whole tables without SQL give the same rows as direct computations."""
+"""Cross mappings and distances of whole tables give the same rows as direct computations."""
 
 import duckdb
 import numpy as np
@@ -19,13 +19,13 @@ def days(sf_dir):
 
 def cross_mapped(x, y, theta=None):
     """{(size, sample): rho} of "x drives y" by halves of the series."""
-    n, draw, out = len(x), np.random.default_rng(q.SEED), {}
+    n, draw, out = len(x), q.spread(), {}
     e = np.column_stack([y, np.concatenate([[np.nan], y[:-1]])])
     pool, pred = np.arange(1, n // 2), np.arange(n // 2, n)
-    sizes = [*np.logspace(1, np.log10(len(pool)), 4).astype(int)[:-1], len(pool)]
+    sizes = [len(pool) // 8, len(pool) // 4, len(pool) // 2, len(pool)]
     for size in sizes:
         for k in range(q.N_SAMPLES):
-            lib = draw.choice(pool, size=size, replace=True)
+            lib = draw(pool, size)
             got = []
             for t in pred:
                 d = np.sqrt(((e[lib] - e[t]) ** 2).sum(1))
@@ -50,22 +50,22 @@ def by_size(samples, f):
 def test_ccm_of_the_whole_series(spark, sf_dir, days):
     run = lambda name: __spark_entry__.queries()[name](spark, sf_dir).collect()
     x, y = days
-    assert len(x) > 2 * q.PRED
+    assert len(x) > 400
     want = cross_mapped(x, y)
-    assert {(r.lib_size, r.sample): r.rho for r in run("ccm_bootstrap_whole")} == pytest.approx(want, abs=2e-6)
-    assert {r.lib_size: r.rho for r in run("ccm_mean_whole")} == pytest.approx(by_size(want, np.mean), abs=2e-6)
-    for r in run("ccm_bands_whole"):
+    assert {(r.lib_size, r.sample): r.rho for r in run("ccm_bootstrap")} == pytest.approx(want, abs=2e-6)
+    assert {r.lib_size: r.rho for r in run("ccm_mean")} == pytest.approx(by_size(want, np.mean), abs=2e-6)
+    for r in run("ccm_bands"):
         assert (r.low, r.median, r.high) == pytest.approx(by_size(want, lambda v: np.quantile(v, [0.05, 0.5, 0.95]))[r.lib_size], abs=2e-6)
-    assert {r.lib_size: r.rho for r in run("ccm_reverse_whole")} == pytest.approx(by_size(cross_mapped(y, x), np.mean), abs=2e-6)
-    assert {r.lib_size: r.rho for r in run("ccm_smap_whole")} == pytest.approx(by_size(cross_mapped(x, y, 2.0), np.mean), abs=2e-5)
-    order = np.random.default_rng(q.SEED).permutation(len(x))
-    assert {r.lib_size: r.rho for r in run("ccm_surrogate_whole")} == pytest.approx(by_size(cross_mapped(x[order], y), np.median), abs=2e-6)
+    assert {r.lib_size: r.rho for r in run("ccm_reverse")} == pytest.approx(by_size(cross_mapped(y, x), np.mean), abs=2e-6)
+    assert {r.lib_size: r.rho for r in run("ccm_smap")} == pytest.approx(by_size(cross_mapped(x, y, 2.0), np.mean), abs=2e-5)
+    order = (np.arange(len(x)) * q.PRIME + 13) % len(x)
+    assert {r.lib_size: r.rho for r in run("ccm_surrogate")} == pytest.approx(by_size(cross_mapped(x[order], y), np.median), abs=2e-6)
 
 
 def test_pairwise_self_of_the_whole_table(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 120").write.parquet(f"{tmp_path}/embeddings.parquet")
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')").fetchall()
     v = {i: np.asarray(e, dtype=np.float64) for i, e in rows}
-    got = __spark_entry__.queries()["pairwise_self_whole"](spark, str(tmp_path)).collect()
+    got = __spark_entry__.queries()["pairwise_self"](spark, str(tmp_path)).collect()
     assert len(got) == len(rows) ** 2 > 3**2
     assert {(r.id_a, r.id_b): r.d2 for r in got} == pytest.approx({(a, b): ((v[a] - v[b]) ** 2).sum() for a in v for b in v}, abs=2e-6)

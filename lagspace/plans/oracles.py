@@ -139,6 +139,7 @@ def _folds(body: str) -> str:
 
 
 AHEAD = f"{HOURS}, ah AS (SELECT t, n - 1 AS n, x, lead(x) OVER (ORDER BY t) AS y0 FROM h QUALIFY y0 IS NOT NULL)"
+MIXED = f"{HOURS}, mx AS (SELECT a.t, a.n, b.x FROM h a JOIN h b ON b.t = (a.t * {q.PRIME} + 13) % a.n)"
 _D2 = "list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))))"
 _UK = ("user_id",)
 _PENDULUM = """w AS (SELECT 0 AS t, 1.0::DOUBLE AS a, 0.5::DOUBLE AS b, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v UNION ALL
@@ -184,6 +185,8 @@ f AS (SELECT * FROM e WHERE t >= 1 AND y0 IS NOT NULL), lib AS (SELECT * FROM f
     "e_curve": f"WITH {_scan_hour(taus=[1])} SELECT CAST(E AS BIGINT) AS E, {rounded('avg(score)', 'mean')}, {rounded('avg(score) - coalesce(stddev_samp(score) / sqrt(count(*)), 0)', 'adjusted')}, count(*) AS n FROM sc GROUP BY E",
     "dimension_curve_hour": f"WITH {scan(AHEAD, 'ah', q.E_GRID, [1], 'greatest(n // 5, 2)', 'greatest(n // 10, 1)', RHO.format(p='pred', o='obs'), target='y0')} SELECT CAST(E AS BIGINT) AS E, {rounded('avg(score)', 'mean')}, {rounded('avg(score) - coalesce(stddev_samp(score) / sqrt(count(*)), 0)', 'adjusted')} FROM sc GROUP BY E",
     "expanding_errors_hour": f"WITH {scan(AHEAD, 'ah', q.E_GRID, q.TAU_GRID, '200', '100', 'sqrt(avg((pred - obs) * (pred - obs)))', grows=True, target='y0')} SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, {rounded('avg(score)', 'mean')} FROM sc GROUP BY E, tau",
+    "noise_floor_hour": f"WITH {scan(MIXED, 'mx', q.E_GRID, q.TAU_GRID, 'greatest(n // 5, 2)', 'greatest(n // 10, 1)', RHO.format(p='pred', o='obs'))} SELECT CAST(E AS BIGINT) AS E, CAST(tau AS BIGINT) AS tau, {rounded('avg(score)', 'mean')} FROM sc GROUP BY E, tau",
+    "lag_range_hour": f"WITH {HOURS}, c AS (SELECT t, x - avg(x) OVER () AS c, n, var_pop(x) OVER () AS v FROM h), f AS (SELECT b.t - a.t AS lag, sum(a.c * b.c) / any_value(a.n * a.v) AS acf FROM c a JOIN c b ON b.t - a.t BETWEEN 0 AND 47 GROUP BY 1) SELECT CAST(unnest(generate_series(1, greatest(1, (SELECT coalesce(min(lag), 0) FROM f WHERE acf < exp(-1))))) AS BIGINT) AS lag",
     "ccm_draws": f"WITH {_drawn()} SELECT CAST(lib_size AS BIGINT) AS lib_size, CAST(sample AS BIGINT) AS sample, CAST(slot AS BIGINT) AS slot, CAST(idx AS BIGINT) AS idx FROM dr",
     "ccm_bootstrap": f"WITH {_samples()} SELECT CAST(lib_size AS BIGINT) AS lib_size, CAST(sample AS BIGINT) AS sample, {rounded('rho', 'rho')} FROM bs",
     "ccm_mean": f"WITH {_samples()} SELECT CAST(lib_size AS BIGINT) AS lib_size, {rounded('avg(rho)', 'rho')} FROM bs GROUP BY lib_size",

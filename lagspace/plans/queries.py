@@ -248,6 +248,16 @@ def expanding_errors_hour(spark, d):
     return c.select(F.col("E").cast("long").alias("E"), F.col("tau").cast("long").alias("tau"), _r("mean").alias("mean"))
 
 
+def noise_floor_hour(spark, d):
+    s = hours(spark, d)
+    c = workflows.noise_floor(s, E_GRID, TAU_GRID, order=_mixed(s.count()))
+    return c.select(F.col("E").cast("long").alias("E"), F.col("tau").cast("long").alias("tau"), _r("mean").alias("mean"))
+
+
+def lag_range_hour(spark, d):
+    return spark.createDataFrame([(i,) for i in workflows.lag_range(hours(spark, d), 48)], "lag long")
+
+
 # -- causality ---------------------------------------------------------------------
 
 
@@ -267,6 +277,11 @@ def spread() -> ccm.Sampler:
     return sample
 
 
+def _mixed(n: int) -> list[int]:
+    """A permutation of 0 ... n - 1 by arithmetic that SQL can repeat, for n that PRIME doesn't divide."""
+    return [(t * PRIME + 13) % n for t in range(n)]
+
+
 def _cross(n: int) -> dict:
     """Arguments of a cross mapping over the whole of n days: the first half is the library pool, the rest is predicted; sizes double up to the pool."""
     pool = range(1, n // 2)
@@ -305,7 +320,7 @@ def ccm_smap(spark, d):
 def ccm_surrogate(spark, d):
     s = both_days(spark, d)
     n = s.count()
-    mixed = ccm.shuffled(s, "x", n, order=[(t * PRIME + 13) % n for t in range(n)])
+    mixed = ccm.shuffled(s, "x", n, order=_mixed(n))
     return _out(ccm.with_simplex(mixed, "y", "x", aggregate=F.median, **_cross(n)))
 
 

@@ -73,10 +73,10 @@ def expanding_errors(series: DataFrame, E: Sequence[int], tau: Sequence[int], in
     return crossval.summary(crossval.scan(ahead, E, tau, y="y0", split=folds, metric=metrics.rmse)).select("E", "tau", "mean")
 
 
-def noise_floor(series: DataFrame, E: Sequence[int], tau: Sequence[int], seed: int = 0) -> DataFrame:
-    """E, tau, mean of the same search on a permuted series."""
+def noise_floor(series: DataFrame, E: Sequence[int], tau: Sequence[int], seed: int = 0, order: Sequence[int] | None = None) -> DataFrame:
+    """E, tau, mean of the same search on a series permuted by chance, or by order."""
     n = series.count()
-    return crossval.summary(crossval.scan(ccm.shuffled(series, "x", n, seed), E, tau)).select("E", "tau", "mean")
+    return crossval.summary(crossval.scan(ccm.shuffled(series, "x", n, seed, order), E, tau)).select("E", "tau", "mean")
 
 
 def both_directions(series: DataFrame, a: str, b: str, lib_sizes: Sequence[int], library_pool: Sequence[int], prediction_pool: Sequence[int], e: int, tau: int = 1, n_samples: int = 20, theta: float | None = None) -> DataFrame:

@@ -400,6 +400,27 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
+def _dealt(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, node, n_shingles, point, size: the nodes of each tree of two or more; and the trees (key, size).
+
+    A node has dozens of keys, of which few are another node's too. So keys go through
+    shuffles with a hash of the node alone; the points join what is left of them.
+    Nodes of equal hashes would stand in each other's trees, which costs no link.
+    """
+    keyed = nodes.select(F.xxhash64("node").alias("h"), F.explode("keys").alias("key"))
+    # A tree is known by its size and two sums of its nodes' hashes, made on the map side first; its nodes are never gathered in a row.
+    sums = [F.bit_xor(F.xxhash64("h", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    trees = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
+    # Near copies share most of their keys: of trees with the same nodes, one is enough.
+    trees = common.cut(trees.groupBy("size", "h0", "h1").agg(F.min("key").alias("key")).select("key", "size"))
+    total = trees.agg(F.sum("size")).first()[0] or 0
+    slim = common.cut(keyed.join(small(trees), "key").select("h", "key", "size"), total)
+    points = nodes.select(F.xxhash64("node").alias("h"), "node", "n_shingles", "point")
+    dealt = common.cut(slim.join(points, "h").select("key", "node", "n_shingles", "point", "size"), total, common.WIDE)
+    common.drop(slim)
+    return dealt, trees
+
+
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id that is reached by links of similarity ``percent`` or more.
 
@@ -411,19 +432,14 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     spark = docs.sparkSession
     texts = common.pick(docs, "doc_id", "text")
     shared = spark.sparkContext.broadcast(sketch(texts, words))
-    rows = common.cut(texts.mapInArrow(common.lean(_noded(shared, words, percent)), "doc_id long, n_shingles long, node binary, point binary, keys array<bigint>"))
+    wide = common.cut(texts.mapInArrow(common.lean(_noded(shared, words, percent)), "doc_id long, n_shingles long, node binary, point binary, keys array<bigint>"))
     shared.unpersist()
+    rows = common.cut(wide.select("doc_id", "n_shingles", "node", F.col("point").isNotNull().alias("own")))
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    own = rows.where("point IS NOT NULL").select("node", "n_shingles", "point", "keys")
-    nodes = common.cut(own.dropDuplicates(["node"]), own.count(), common.WIDE)
-    keyed = nodes.select("node", "n_shingles", "point", F.explode("keys").alias("key"))
-    # A tree is known by its size and two sums of its nodes' hashes, made on the map side first; its nodes are never gathered in a row.
-    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
-    trees = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
-    # Near copies share most of their keys: of trees with the same nodes, one is enough.
-    trees = common.cut(trees.groupBy("size", "h0", "h1").agg(F.min("key").alias("key")).select("key", "size"))
-    dealt = keyed.join(small(trees), "key").select("key", "node", "n_shingles", "point", "size")
-    dealt = common.cut(dealt, trees.agg(F.sum("size")).first()[0] or 0, common.WIDE)
+    nodes = common.cut(wide.where("point IS NOT NULL").select("node", "n_shingles", "point", "keys").dropDuplicates(["node"]), rows.where("own").count(), common.WIDE)
+    common.drop(wide)
+    dealt, trees = _dealt(nodes)
+    common.drop(nodes)
     ddl = "a binary, b binary, more long"
     parts = F.ceil(F.col("size") / SLICE).cast("int")
     centre = F.pmod(F.xxhash64("node", F.lit("centre")), F.col("size")) < CENTRES
@@ -476,10 +492,12 @@ def _check(texts: DataFrame, rows: DataFrame, found: DataFrame, words: int, perc
     n = pairs.count()
     pairs = common.cut(pairs.distinct(), n)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = rows.where("point IS NOT NULL").select("doc_id", "node", "n_shingles").join(nodes, "node", "left_semi")
+    holders = rows.where("own").select("doc_id", "node", "n_shingles").join(nodes, "node", "left_semi")
     holders = common.cut(holders.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"), 2 * n)
     sets = texts.join(small(holders), "doc_id").select("node", "text").mapInArrow(_sets(words), "node binary, set binary")
     sets = common.cut(sets.dropDuplicates(["node"]), 2 * n, common.WIDE)
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").select("b", "a", "x")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return common.cut(two.mapInArrow(_verified(percent), "a binary, b binary"), n, common.WIDE)
+    links = common.cut(two.mapInArrow(_verified(percent), "a binary, b binary"), n, common.WIDE)
+    common.drop(sets, pairs, holders)
+    return links

@@ -220,6 +220,20 @@ def test_jaccard_odd_rows(odd, no_rows):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 4, 5, 6, 7, 9, 10]
 
 
+def test_jaccard_shuffles_no_point_for_each_key(spark, monkeypatch):
+    """With more trees than are broadcast, keys go through the shuffle without their nodes' points."""
+    monkeypatch.setattr(jaccard.small, "__defaults__", (0,))
+    r = random.Random(4)
+    rows = [(i.to_bytes(16, "big"), 60, r.randbytes(5000), [i // 2, *range(1000 + i * 60, 1059 + i * 60)]) for i in range(200)]
+    nodes = spark.createDataFrame(rows, "node binary, n_shingles long, point binary, keys array<bigint>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    dealt, trees = jaccard._dealt(nodes)
+    assert written() - before < 5 * 200 * 5000  # a point for each of 60 keys would be 60 times them
+    assert {(x.key, x.size) for x in trees.collect()} == {(i, 2) for i in range(100)}
+    assert sorted((x.key, x.node, x.size, x.point) for x in dealt.collect()) == [(i // 2, n, 2, p) for i, (n, _, p, _) in enumerate(rows)]
+
+
 def test_rtree_bounds_lose_nothing():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(80)]

@@ -275,6 +275,21 @@ def test_dtw_matches_the_table():
         assert distance.warp(a, b) == pytest.approx(t[-1, -1])
 
 
+def test_keyed_autocorrelation_needs_one_shuffle(spark):
+    """No row is repeated for each lag, and none is broadcast; a null key has no rows, a missing value no product."""
+    values = {1: [1.0, 3.0, 2.0, 5.0, 4.0], 2: [2.0, 1.0], None: [1.0, 2.0], 3: [1.0, None, 4.0, 2.0]}
+    s = spark.createDataFrame([(k, t, x) for k, v in values.items() for t, x in enumerate(v)], "k long, t long, x double")
+    found = spectral.autocorrelation(s, 4, keys=["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    want = {}
+    for k in (1, 2, 3):
+        v = np.array(values[k], dtype=float)
+        c = v - np.nanmean(v)
+        want |= {(k, lag): np.nansum(c[lag:] * c[: len(c) - lag]) / (len(v) * np.nanvar(v)) for lag in range(min(4, len(v)))}
+    assert {(r.k, r.lag): r.acf for r in found.collect()} == pytest.approx(want)
+
+
 def test_autocorrelation(spark):
     s = series(spark, np.sin(2 * np.pi * np.arange(200) / 20))
     got = {r.lag: r.acf for r in spectral.autocorrelation(s, 30).collect()}

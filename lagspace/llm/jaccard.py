@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ CENTRES = 32
 BLOCK = 1024
 #: Ids are broadcast up to this count, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Keys whose trees are made in one round.
+KEYS = 40_000_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -400,24 +402,62 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
-def _dealt(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _first_of_each(wide: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of wide with a point, one of each node: that with the least row number.
+
+    The copies are found by slim rows and usually broadcast, so that keys and
+    points, most of what is on disk here, are written once and never shuffled.
+    """
+    own = rows.where("own").select("row", "node")
+    twice = common.cut(own.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "first"))
+    copies = common.cut(own.join(small(twice), "node").where("row != first").select("row"))
+    held = small(copies)
+    nodes = wide.where("point IS NOT NULL").join(held, "row", "left_anti").select("node", "n_shingles", "point", "keys")
+    if held is copies:  # too many for a broadcast: shuffled once
+        nodes = common.cut(nodes)
+        common.drop(wide)
+    return nodes
+
+
+def _dealt(nodes: DataFrame, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """key, node, n_shingles, point, size: the nodes of each tree of two or more; and the trees (key, size).
 
     A node has dozens of keys, of which few are another node's too. So keys go through
     shuffles with a hash of the node alone; the points join what is left of them.
     Nodes of equal hashes would stand in each other's trees, which costs no link.
+
+    rounds: keys are dealt to so many rounds, and the files of a round's shuffles go
+    before the next, so that disk has the keys of one round at a time.
     """
+    spark = nodes.sparkSession
+    turn = F.pmod(F.xxhash64("key", F.lit("round")), F.lit(rounds))
     keyed = nodes.select(F.xxhash64("node").alias("h"), F.explode("keys").alias("key"))
     # A tree is known by its size and two sums of its nodes' hashes, made on the map side first; its nodes are never gathered in a row.
     sums = [F.bit_xor(F.xxhash64("h", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
-    trees = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
     # Near copies share most of their keys: of trees with the same nodes, one is enough.
-    trees = common.cut(trees.groupBy("size", "h0", "h1").agg(F.min("key").alias("key")).select("key", "size"))
+    same = ["size", "h0", "h1"]
+    found = []
+    for i in range(rounds):
+        some = keyed.where(turn == i).groupBy("key").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
+        found.append(common.cut(some.groupBy(same).agg(F.min("key").alias("key"))))
+        if rounds > 1:
+            common.sweep(spark)
+    trees = found[0].select("key", "size")
+    if rounds > 1:
+        trees = common.cut(reduce(DataFrame.unionByName, found).groupBy(same).agg(F.min("key").alias("key")).select("key", "size"))
+        common.drop(*found)
     total = trees.agg(F.sum("size")).first()[0] or 0
-    slim = common.cut(keyed.join(small(trees), "key").select("h", "key", "size"), total)
+    held = small(trees)
+    if rounds == 1 or held is not trees:
+        slim = [common.cut(keyed.join(held, "key").select("h", "key", "size"), total)]
+    else:
+        slim = []
+        for i in range(rounds):
+            slim.append(common.cut(keyed.where(turn == i).join(small(trees.where(turn == i)), "key").select("h", "key", "size"), total))
+            common.sweep(spark)
     points = nodes.select(F.xxhash64("node").alias("h"), "node", "n_shingles", "point")
-    dealt = common.cut(slim.join(points, "h").select("key", "node", "n_shingles", "point", "size"), total, common.WIDE)
-    common.drop(slim)
+    dealt = common.cut(reduce(DataFrame.unionByName, slim).join(points, "h").select("key", "node", "n_shingles", "point", "size"), total, common.WIDE)
+    common.drop(*slim)
     return dealt, trees
 
 
@@ -432,14 +472,15 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     spark = docs.sparkSession
     texts = common.pick(docs, "doc_id", "text")
     shared = spark.sparkContext.broadcast(sketch(texts, words))
-    wide = common.cut(texts.mapInArrow(common.lean(_noded(shared, words, percent)), "doc_id long, n_shingles long, node binary, point binary, keys array<bigint>"))
+    wide = texts.mapInArrow(common.lean(_noded(shared, words, percent)), "doc_id long, n_shingles long, node binary, point binary, keys array<bigint>")
+    wide = common.cut(wide.withColumn("row", F.monotonically_increasing_id()))
     shared.unpersist()
-    rows = common.cut(wide.select("doc_id", "n_shingles", "node", F.col("point").isNotNull().alias("own")))
+    rows = common.cut(wide.select("row", "doc_id", "n_shingles", "node", F.col("point").isNotNull().alias("own"), F.size("keys").alias("n_keys")))
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = common.cut(wide.where("point IS NOT NULL").select("node", "n_shingles", "point", "keys").dropDuplicates(["node"]), rows.where("own").count(), common.WIDE)
+    keys = rows.where("own").agg(F.sum("n_keys")).first()[0] or 0
+    nodes = _first_of_each(wide, rows)
+    dealt, trees = _dealt(nodes, max(1, -(-keys // KEYS)))
     common.drop(wide)
-    dealt, trees = _dealt(nodes)
-    common.drop(nodes)
     ddl = "a binary, b binary, more long"
     parts = F.ceil(F.col("size") / SLICE).cast("int")
     centre = F.pmod(F.xxhash64("node", F.lit("centre")), F.col("size")) < CENTRES

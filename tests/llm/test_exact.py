@@ -12,6 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lagspace.llm import bpe, common, fingerprints, html, jaccard, lm, media, packing, secrets
 
 
@@ -234,6 +236,32 @@ def test_jaccard_shuffles_no_point_for_each_key(spark, monkeypatch):
     assert sorted((x.key, x.node, x.size, x.point) for x in dealt.collect()) == [(i // 2, n, 2, p) for i, (n, _, p, _) in enumerate(rows)]
 
 
+def test_jaccard_keys_in_rounds(spark, monkeypatch):
+    """Trees of keys in rounds are those of all keys at once; keys and points aren't shuffled to find copies."""
+    r = random.Random(6)
+    rows = [(i, i // 2 * 2 if i % 10 < 2 else i, (i // 2 * 2 if i % 10 < 2 else i).to_bytes(16, "big"), 60, r.randbytes(5000), [i // 3, *range(1000 + i // 4 * 60, 1059 + i // 4 * 60)]) for i in range(200)]
+    wide = spark.createDataFrame(rows, "row long, doc_id long, node binary, n_shingles long, point binary, keys array<bigint>").cache()
+    wide.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    nodes = jaccard._first_of_each(wide, wide.withColumn("own", F.lit(True)))
+    got = nodes.collect()
+    assert written() - before < 100_000  # points alone are 1,000,000 bytes
+    assert len(got) == 180 and {x.node for x in got} == {x[2] for x in rows} and all(x.point == rows[int.from_bytes(x.node, "big")][4] for x in got)
+    want = None
+    for limit in (jaccard.BROADCAST_IDS, 0):
+        monkeypatch.setattr(jaccard.small, "__defaults__", (limit,))
+        for rounds in (1, 3):
+            dealt, trees = jaccard._dealt(nodes, rounds)
+            now = sorted((x.key, x.size) for x in trees.collect()), sorted((x.key, x.node, x.size, x.point) for x in dealt.collect())
+            want = want or now
+            assert now == want and len(want[0]) > 20
+    texts = {i: " ".join(f"w{r.randint(0, 40) if r.random() < 0.03 else j % 37 + i // 7}" for j in range(60)) for i in range(60)}
+    monkeypatch.setattr(jaccard, "KEYS", 200)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.joined(df).collect()} == brute_components(texts)
+
+
 def test_rtree_bounds_lose_nothing():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(80)]

@@ -105,3 +105,19 @@ def test_metrics_need_the_same_times(spark):
     assert metrics.compared(p, o.replace(2, 1, "t")).count() == 2
     with pytest.raises(Exception, match="Shape mismatch"):
         metrics.compared(p, o).collect()
+
+
+def test_all_pairs_shuffle_each_vector_once(spark):
+    """What is shuffled grows with the vectors, not with their pairs; blocks of unequal sizes, two frames, and null numbers."""
+    r = np.random.default_rng(7)
+    v = r.normal(size=(600, 64))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").cache()
+    frame.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    got = distance.pairwise_distance(frame, block=20).toPandas().sort_values(["id_a", "id_b"])
+    assert written() - before < 3 * v.nbytes  # each of 30 blocks for each of 30 would be 60 times them
+    assert len(got) == 600**2 and np.allclose(got.d2.to_numpy().reshape(600, 600), ((v[:, None] - v[None]) ** 2).sum(-1))
+    few = distance.pairwise_distance(frame.where("id % 50 = 0"), frame, block=70).toPandas().sort_values(["id_a", "id_b"])
+    assert len(few) == 12 * 600 and np.allclose(few.d2.to_numpy().reshape(12, 600), ((v[::50, None] - v[None]) ** 2).sum(-1))
+    assert distance.pairwise_distance(frame.where("id < 0"), frame).count() == 0
